@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from granary.llm import sharding
+from granary.llm import packing, sharding
 
 
 def queries() -> dict:
     return {
+        "op9_swap_packing": packing.op9_swap_packing,
         "op10_bounded_ring": sharding.op10_bounded_ring,
     }
 
