@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from granary.llm import packing, sharding
+from granary.llm import bpe, packing, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_chunk_reuse_bpe": bpe.op1_chunk_reuse_bpe,
         "op9_swap_packing": packing.op9_swap_packing,
         "op10_bounded_ring": sharding.op10_bounded_ring,
     }
