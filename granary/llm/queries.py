@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from granary.llm import bpe, packing, sharding
+from granary.llm import bpe, packing, sharding, warc
 
 
 def queries() -> dict:
     return {
         "op1_chunk_reuse_bpe": bpe.op1_chunk_reuse_bpe,
+        "op3_content_addressed_warc": warc.op3_content_addressed_warc,
         "op9_swap_packing": packing.op9_swap_packing,
         "op10_bounded_ring": sharding.op10_bounded_ring,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_content_addressed_warc": warc.ORACLE_SQL,
+    }
