@@ -40,3 +40,8 @@ def held_out(doc_id: Column) -> Column:
 
 def byte_length(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once a row, however often ``use`` and the lambdas in it mention it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from granary.llm import bpe, packing, sharding, warc
+from granary.llm import bpe, linededup, packing, sharding, warc
 
 
 def queries() -> dict:
     return {
         "op1_chunk_reuse_bpe": bpe.op1_chunk_reuse_bpe,
+        "op2_line_windows": linededup.op2_line_windows,
         "op3_content_addressed_warc": warc.op3_content_addressed_warc,
         "op9_swap_packing": packing.op9_swap_packing,
         "op10_bounded_ring": sharding.op10_bounded_ring,
@@ -16,5 +17,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_line_windows": linededup.ORACLE_SQL,
         "op3_content_addressed_warc": warc.ORACLE_SQL,
     }
