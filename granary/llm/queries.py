@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import bpe, linededup, packing, sharding, warc
+from granary.llm import bpe, linededup, packing, quality_rules, sharding, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_chunk_reuse_bpe": bpe.op1_chunk_reuse_bpe,
         "op2_line_windows": linededup.op2_line_windows,
         "op3_content_addressed_warc": warc.op3_content_addressed_warc,
+        "op6_mcd_rules": quality_rules.op6_mcd_rules,
         "op9_swap_packing": packing.op9_swap_packing,
         "op10_bounded_ring": sharding.op10_bounded_ring,
     }
