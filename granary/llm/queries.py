@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import bpe, linededup, packing, quality_rules, sharding, warc
+from granary.llm import bpe, linededup, packing, quality_model, quality_rules, sharding, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_line_windows": linededup.op2_line_windows,
         "op3_content_addressed_warc": warc.op3_content_addressed_warc,
         "op6_mcd_rules": quality_rules.op6_mcd_rules,
+        "op8_ftrl_quality": quality_model.op8_ftrl_quality,
         "op9_swap_packing": packing.op9_swap_packing,
         "op10_bounded_ring": sharding.op10_bounded_ring,
     }
