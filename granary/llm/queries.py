@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import bpe, langid, linededup, packing, quality_model, quality_rules, sharding, warc
+from granary.llm import bpe, langid, linededup, packing, quality_model, quality_rules, sharding, topk, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_content_addressed_warc": warc.op3_content_addressed_warc,
         "op5_ecoc_langid": langid.op5_ecoc_langid,
         "op6_mcd_rules": quality_rules.op6_mcd_rules,
+        "op7_block_topk": topk.op7_block_topk,
         "op8_ftrl_quality": quality_model.op8_ftrl_quality,
         "op9_swap_packing": packing.op9_swap_packing,
         "op10_bounded_ring": sharding.op10_bounded_ring,
@@ -22,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_windows": linededup.ORACLE_SQL,
         "op3_content_addressed_warc": warc.ORACLE_SQL,
+        "op7_block_topk": topk.ORACLE_SQL,
     }
