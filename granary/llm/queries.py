@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import bpe, langid, linededup, packing, quality_model, quality_rules, sharding, topk, warc
+from granary.llm import bpe, langid, linededup, neardup, packing, quality_model, quality_rules, sharding, topk, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_chunk_reuse_bpe": bpe.op1_chunk_reuse_bpe,
         "op2_line_windows": linededup.op2_line_windows,
         "op3_content_addressed_warc": warc.op3_content_addressed_warc,
+        "op4_odd_sketch_neardup": neardup.op4_odd_sketch_neardup,
         "op5_ecoc_langid": langid.op5_ecoc_langid,
         "op6_mcd_rules": quality_rules.op6_mcd_rules,
         "op7_block_topk": topk.op7_block_topk,
