@@ -87,6 +87,15 @@ def dedup_lines(docs: DataFrame, lines: int = WINDOW_LINES) -> DataFrame:
     )
 
 
+def clean_documents(docs: DataFrame, lines: int = WINDOW_LINES) -> DataFrame:
+    """The documents with all their columns and cleaned texts; ``n_chars`` follows the text where there is one."""
+    out = dedup_lines(docs, lines)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def op2_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "text")
