@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of ``granary.operators`` that register queries with ``Catalog``.
-MODULES: tuple[str, ...] = ("overlap", "scoring", "stats")
+MODULES: tuple[str, ...] = ("overlap", "scoring", "stats", "sampling", "dedup")
 
 
 def _catalogs():
