@@ -1 +1 @@
-
+"""Multi-step plans built from operators."""

@@ -1 +1 @@
-
+"""Structured Streaming over append-only call logs."""
