@@ -143,9 +143,10 @@ def learn(docs: DataFrame, limit: int = SAMPLE) -> dict:
 
 
 def identify(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """The columns ``keep``, and ``lang_pred``, ``score``, ``ambiguous``."""
+    """The columns ``keep``, and ``lang_pred``, ``score``, ``ambiguous`` (in place of columns of those names)."""
+    keep = [c for c in keep if c not in ("lang_pred", "score", "ambiguous")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    taken = docs.select(F.struct(*keep).alias("kept"), "text")
+    taken = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), "text")
     out = "kept " + taken.schema["kept"].dataType.simpleString() + ", lang_pred string, score double, ambiguous boolean"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +155,7 @@ def identify(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
             cols = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["kept", "lang_pred", "score", "ambiguous"])
 
-    return taken.mapInArrow(apply, out).select("kept.*", "lang_pred", "score", "ambiguous")
+    return taken.mapInArrow(apply, out).select(*[F.col("kept")[c].alias(c) for c in keep], "lang_pred", "score", "ambiguous")
 
 
 def op5_ecoc_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

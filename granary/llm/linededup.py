@@ -89,11 +89,17 @@ def dedup_lines(docs: DataFrame, lines: int = WINDOW_LINES) -> DataFrame:
 
 def clean_documents(docs: DataFrame, lines: int = WINDOW_LINES) -> DataFrame:
     """The documents with all their columns and cleaned texts; ``n_chars`` follows the text where there is one."""
-    out = dedup_lines(docs, lines)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in rest]).alias("rest"))
+    out = dedup_lines(packed, lines)
+
+    def column(c: str) -> Column:
+        if c in ("doc_id", "text"):
+            return F.col(c)
+        own = F.col("rest")[c]
+        return F.when(F.size("removed") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(own) if c == "n_chars" else own
+
+    return out.select(*[column(c).alias(c) for c in docs.columns])
 
 
 def op2_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,10 +131,10 @@ def train(sample: DataFrame, epochs: int = EPOCHS) -> np.ndarray:
     return np.frombuffer(bytes(got[0]["weights"]), "<f4").astype(np.float64) if got else np.zeros(_MASK + 2)
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs``, and ``score``."""
+def _scored(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
+    """(kept, score): the columns ``keep`` as one struct, so that no name of theirs meets ours."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    taken = docs.select(F.struct(*keep).alias("kept"), "text")
+    taken = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), "text")
     out = "kept " + taken.schema["kept"].dataType.simpleString() + ", score double"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,13 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
                 got.append(sigmoid(float(w[index] @ value + w[-1])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["kept", "score"])
 
-    return taken.mapInArrow(apply, out).select("kept.*", "score")
+    return taken.mapInArrow(apply, out)
+
+
+def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs``, and ``score`` (in place of a column of that name)."""
+    keep = [c for c in keep if c != "score"]
+    return _scored(docs, weights, keep).select(*[F.col("kept")[c].alias(c) for c in keep], "score")
 
 
 def quality_weights(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> np.ndarray:
@@ -155,8 +161,8 @@ def quality_weights(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) ->
 
 def good_documents(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, with their columns; the model learns from ``learn_from``."""
-    scored = score(docs, quality_weights(learn_from, labels), docs.columns)
-    return scored.where(F.col("score") >= threshold).select(*docs.columns)
+    scored = _scored(docs, quality_weights(learn_from, labels), docs.columns)
+    return scored.where(F.col("score") >= threshold).select(*[F.col("kept")[c].alias(c) for c in docs.columns])
 
 
 def op8_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,9 @@ CUT, MEDIAN = 33.377, 3.3567
 #: Bins per natural log of (1 + squared distance), and the last bin.
 BINS, LAST_BIN = 64, 2560
 
+#: What ``judge`` adds; input columns of these names are not kept.
+OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
 #: Low bits of a window's sort key that hold its position; the rest are hash.
 POSITION_BITS = 26
 
@@ -210,6 +213,7 @@ def mcd_estimates(rows: DataFrame, h: float = H, steps: int = STEPS) -> DataFram
 def judge(docs: DataFrame, keep: list[str] | None = None, cut: float = CUT, least_rows: int = LEAST_ROWS) -> DataFrame:
     """The columns ``keep`` (all but the text if none are named), the counts, ``base_failed``, ``distance`` and ``kept``."""
     keep = keep if keep is not None else [c for c in docs.columns if c != "text"]
+    keep = [c for c in keep if c not in OUTPUTS]
     aside = [c for c in keep if c not in ("lang", "source")]
     source = docs.select(*[F.col(c).alias(f"in_{c}") for c in aside], "text", "lang", "source")
     own = with_counts(source, [*[f"in_{c}" for c in aside], "lang", "source"])
@@ -229,16 +233,15 @@ def judge(docs: DataFrame, keep: list[str] | None = None, cut: float = CUT, leas
     placed = vectors.withColumn("pair", both).join(grouped, "pair", "left").join(estimates, "grp", "left")
     scored = _distance(placed).withColumn("distance", F.col("d2") / F.col("scale"))
     verdict = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     back = [F.col(f"in_{c}").alias(c) if c in aside else F.col(c) for c in keep]
-    return scored.select(*back, *counts, verdict.alias("kept"), F.when(~F.col("base_failed"), F.col("distance")).alias("distance"))
+    return scored.select(*back, *OUTPUTS[:6], verdict.alias("kept"), F.when(~F.col("base_failed"), F.col("distance")).alias("distance"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns and nothing else. Verdicts are joined back by id and text hash."""
-    marked = docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text", F.lit(13)).alias("hash"), F.col("lang").alias("lang"), F.col("source").alias("source")))
-    good = judge(marked, ["_key"]).where("kept").select(F.to_json("_key").alias("_json")).distinct()
-    return marked.withColumn("_json", F.to_json("_key")).join(good, "_json", "left_semi").select(*docs.columns)
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text", F.lit(13)).alias("hash"), F.col("lang").alias("lang"), F.col("source").alias("source"))
+    good = judge(docs.select(F.to_json(key).alias("key"), "text", "lang", "source"), ["key"]).where("kept").select(F.col("key").alias("good")).distinct()
+    return docs.join(good, F.to_json(key) == good["good"], "left_semi")
 
 
 def op6_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
