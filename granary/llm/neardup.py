@@ -13,11 +13,14 @@ reaches a threshold; groups are the connected components of the links.
 3. *Candidates in rounds.* In a bucket (classes with an equal band) nobody is
    paired with everybody. First every class meets the bucket's smallest id.
    Links that hold are joined into components; buckets within one component are
-   done, as no further link could change it. In the others each class outside
-   the bucket's main component meets the one class of another component with the
-   nearest sketch, again and again while that finds links. What is still apart
-   then meets exactly: every pair across components that sketches admit, once.
-   Sketches are compared in memory, in tiles of bounded size.
+   done, as no further link could change it. In the others, components with a
+   pair that sizes and sketches admit are likely to be linked; per bucket a
+   spanning forest of such components is kept, and their connected components
+   over all buckets are clusters. Any link that is still missing lies within a
+   cluster. There the classes meet, in tiles of bounded size: admitted pairs of
+   a common band are confirmed on full sets, the nearest first, and only while
+   their components are apart. So a task yields fewer pairs than it has
+   components, however large the group of near copies.
 4. *Confirmation.* A pair whose sketches admit the threshold is confirmed on the
    full sets, by sizes first, then by their exact intersection.
 5. *Components* by large-star and small-star steps on the links, as joins and
@@ -54,8 +57,8 @@ from granary.llm.common import materialize, table
 SHINGLE, THRESHOLD = 5, Fraction(4, 5)
 ROWS = 5
 MISS = 1e-9
-SKETCH_BITS = 1024
-SLACK = 7.0
+SKETCH_BITS, SKETCH_SAMPLES = 2048, 320
+SLACK = 6.0
 #: Classes of a bucket that are compared at once in memory.
 TILE = 1024
 
@@ -102,24 +105,27 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
 
 class Signer:
-    """MinHash bands and odd sketches of shingle sets."""
+    """MinHash bands and odd sketches of shingle sets. Sketches take ``SKETCH_SAMPLES`` samples, of which the first make the bands."""
 
     def __init__(self, threshold: Fraction):
-        self.bands, self.samples = bands_for(threshold), bands_for(threshold) * ROWS
+        self.bands = bands_for(threshold)
+        self.samples = max(SKETCH_SAMPLES, self.bands * ROWS)
         rng = np.random.default_rng(20240229)
-        self.mul = rng.integers(0, 1 << 63, self.samples, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.mul = rng.integers(0, 1 << 31, self.samples, np.uint32) * np.uint32(2) + np.uint32(1)
+        self.xor = rng.integers(0, 1 << 32, self.samples, np.uint32)
         self.salt = _mix(np.arange(1, self.samples + 1, dtype=np.uint64))
 
     def samples_of(self, shingles: np.ndarray) -> np.ndarray:
-        low = np.full(self.samples, np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(shingles), 256):
-            np.minimum(low, (self.mul[:, None] * shingles[None, at : at + 256]).min(1), out=low)
-        return low >> np.uint64(32)
+        low = np.full(self.samples, np.iinfo(np.uint32).max, np.uint32)
+        short = (shingles >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(short), 512):
+            np.minimum(low, ((short[None, at : at + 512] ^ self.xor[:, None]) * self.mul[:, None]).min(1), out=low)
+        return low.astype(np.uint64)
 
     def sign(self, shingles: np.ndarray) -> tuple[list[int], bytes]:
         """(a hash for each band, the sketch)."""
         each = _mix(self.samples_of(shingles) ^ self.salt)
-        bands = each.reshape(self.bands, ROWS)
+        bands = each[: self.bands * ROWS].reshape(self.bands, ROWS)
         h = np.arange(1, self.bands + 1, dtype=np.uint64)
         for k in range(ROWS):
             h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + bands[:, k])
@@ -131,13 +137,13 @@ def most_different_bits(threshold: Fraction, samples: int, bits: int = SKETCH_BI
     """The largest number of differing sketch bits that still admits a pair at the threshold.
 
     At similarity J each sample differs with probability 1 - J and then flips
-    two bits; parities of m random flips among n bits are odd with expectation
-    n (1 - (1 - 2/n)^m) / 2. Both the samples' and the bits' spread are allowed for.
+    two bits; m random flips among n bits leave n (1 - (1 - 2/n)^m) / 2 odd ones.
+    The number's spread comes from the samples (two bits each) and the bits.
     """
     p = 1 - float(threshold)
-    flips = 2 * (samples * p + SLACK * math.sqrt(samples * p * (1 - p)))
-    odd = bits * (1 - (1 - 2 / bits) ** flips) / 2
-    return min(bits, math.ceil(odd + SLACK * math.sqrt(odd * max(0.05, 1 - odd / bits))))
+    odd = bits * (1 - (1 - 2 / bits) ** (2 * samples * p)) / 2
+    spread = math.sqrt(4 * samples * p * (1 - p) + odd)
+    return min(bits, math.ceil(odd + SLACK * spread))
 
 
 def _signatures(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
@@ -199,41 +205,76 @@ def _sketches(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
 
 
-def meet(x: pd.DataFrame, y: pd.DataFrame, most: int, ratio: tuple[int, int], best: bool) -> pd.DataFrame:
-    """Pairs (a from y, b from x) of different components that sizes and sketches admit.
+class Sets:
+    """Union-find over component ids."""
 
-    best: only the nearest partner of each row of ``y`` that is outside its
-    bucket's main component; else all pairs, each in the first bucket that both
-    share, and none within the main component or twice.
-    """
-    none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    if best:
-        y = y[~y["main"]]
-    if not len(x) or not len(y):
-        return none
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (p := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(p, p)
+            x = p
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def admitted(x: pd.DataFrame, y: pd.DataFrame, most: int, ratio: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of x, rows of y) of different components that sizes and sketches admit, the nearest sketches first."""
     p, q = ratio
     nx, ny = x["n_shingles"].to_numpy()[:, None], y["n_shingles"].to_numpy()[None]
     apart = _apart(_sketches(x["sketch"]), _sketches(y["sketch"]))
     ok = (apart <= most) & (q * np.minimum(nx, ny) >= p * np.maximum(nx, ny)) & (x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None])
-    if best:
-        apart[~ok] = np.iinfo(np.int32).max
-        i, j = apart.argmin(0), np.arange(len(y))
-        hit = ok[i, j]
-        i, j = i[hit], j[hit]
-    else:
-        ok &= x["rep"].to_numpy()[:, None] < y["rep"].to_numpy()[None]
-        i, j = np.nonzero(ok)
-        if len(i):
-            bx, by = np.stack(x["bands"].to_numpy()), np.stack(y["bands"].to_numpy())
-            here = x["h"].to_numpy()[0]
-            same = bx[i] == by[j]
-            first = bx[i, same.argmax(1)]
-            i, j = i[first == here], j[first == here]
-    return pd.DataFrame({"a": y["rep"].to_numpy()[j], "b": x["rep"].to_numpy()[i]}) if len(i) else none
+    i, j = np.nonzero(ok)
+    order = np.argsort(apart[i, j], kind="stable")
+    return i[order], j[order]
+
+
+def _pairs(found: list[tuple[int, int]]) -> pd.DataFrame:
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def likely_forest(x: pd.DataFrame, y: pd.DataFrame, most: int, ratio: tuple[int, int]) -> pd.DataFrame:
+    """A spanning forest, over components, of the admitted pairs: fewer pairs than there are components."""
+    if not len(x) or not len(y):
+        return _pairs([])
+    i, j = admitted(x, y, most, ratio)
+    sets, cx, cy = Sets(), x["component"].to_numpy(), y["component"].to_numpy()
+    ends = np.unique(np.stack([cx[i], cy[j]], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+    return _pairs([(int(a), int(b)) for a, b in ends if sets.join(int(a), int(b))])
+
+
+def linked_forest(x: pd.DataFrame, y: pd.DataFrame, most: int, ratio: tuple[int, int]) -> pd.DataFrame:
+    """A spanning forest, over components, of the links: admitted pairs that share a band are confirmed on full sets, nearest first, while their components are apart."""
+    if not len(x) or not len(y):
+        return _pairs([])
+    p, q = ratio
+    i, j = admitted(x, y, most, ratio)
+    sets, cx, cy = Sets(), x["component"].tolist(), y["component"].tolist()
+    bx, by, sx, sy = x["bands"].tolist(), y["bands"].tolist(), x["shingles"].tolist(), y["shingles"].tolist()
+    found, left, right = [], {}, {}
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        if sets.find(cx[a]) == sets.find(cy[b]) or not (np.asarray(bx[a]) == np.asarray(by[b])).any():
+            continue
+        if a not in left:
+            left[a] = set(sx[a])
+        if b not in right:
+            right[b] = set(sy[b])
+        u, v = left[a], right[b]
+        common = len(u & v)
+        if q * common >= p * (len(u) + len(v) - common):
+            sets.join(cx[a], cy[b])
+            found.append((cx[a], cy[b]))
+    return _pairs(found)
 
 
 class Grouping:
-    """The search over one corpus: written signatures of classes, growing links."""
+    """The search over one corpus: written signatures of classes, growing components."""
 
     def __init__(self, classes: DataFrame, docs: DataFrame, size: int, threshold: Fraction):
         self.classes, self.docs, self.size, self.threshold = classes, docs, size, threshold
@@ -277,49 +318,58 @@ class Grouping:
         return both.where(q * F.col("common") >= p * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
     def _open_buckets(self, labels: DataFrame) -> DataFrame:
-        """Members, with component, size and main component, of the buckets that hold several components."""
+        """(h, rep, component, n, main): members of the buckets that hold several components."""
         placed = self.members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("component"))
         counted = placed.groupBy("h", "component").agg(F.count("*").alias("k"))
-        several = counted.groupBy("h").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("n"), F.count("*").alias("c")).where("c > 1")
-        return placed.join(several.select("h", "n", F.col("top.component").alias("most")), "h").select("h", "rep", "component", "n", (F.col("component") == F.col("most")).alias("main"))
+        return self._with_main(placed, counted, "h")
+
+    def _with_main(self, rows: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+        """Rows of keys with several components, with the key's size and whether their component is its largest."""
+        several = counted.groupBy(key).agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("n"), F.count("*").alias("c")).where("c > 1")
+        return rows.join(several.select(key, "n", F.col("top.component").alias("most")), key).withColumn("main", F.col("component") == F.col("most")).drop("most")
+
+    def _meet(self, rows: DataFrame, key: str, columns: list[str], forest) -> DataFrame:
+        """Pairs of components from ``forest(x, y, ...)`` over the rows of each key.
 
-    def _meet(self, members: DataFrame, best: bool) -> DataFrame:
-        """Pairs across components of open buckets. Small buckets share a task; large ones are cut into tiles that meet pairwise."""
+        Keys with few rows share tasks. The others are cut into tiles: tiles of
+        all rows meet tiles of the rows outside the key's main component, as
+        rows within it need not meet.
+        """
         most, ratio = self.most, (self.threshold.numerator, self.threshold.denominator)
-        extra = [] if best else ["bands"]
-        full = materialize(members.join(self.classes.select("rep", "sketch", "n_shingles", *extra), "rep"), "open")
-        cols = ["h", "rep", "component", "main", "n_shingles", "sketch", *extra]
-        tasks = max(1, full.where(F.col("n") <= TILE).count() // 20_000)
+        cols = [key, "component", "main", *columns]
+        tasks = max(1, rows.where(F.col("n") <= TILE).count() // 5_000)
 
-        def small(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.concat([meet(g, g, most, ratio, best) for _, g in rows.groupby("h", sort=False)], ignore_index=True)
+        def small(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.concat([forest(g, g[~g["main"]], most, ratio) for _, g in pdf.groupby(key, sort=False)], ignore_index=True)
 
-        few = full.where(F.col("n") <= TILE).withColumn("task", F.pmod(F.xxhash64("h", F.lit(4)), F.lit(tasks)))
+        few = rows.where(F.col("n") <= TILE).withColumn("task", F.pmod(F.xxhash64(key, F.lit(4)), F.lit(tasks)))
         out = few.select("task", *cols).groupBy("task").applyInPandas(small, "a long, b long")
-        large = full.where(F.col("n") > TILE).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-        mine = F.pmod(F.xxhash64("rep", F.lit(6)), F.col("tiles")).cast("int")
-        others = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-        x = large.withColumn("i", mine).withColumn("j", others)
-        y = (large.where(~F.col("main")) if best else large).withColumn("j", mine).withColumn("i", others)
-        key = ["h", "i", "j"]
-        tiled = x.select(*cols, "i", "j").groupBy(key).cogroup(y.select(*cols, "i", "j").groupBy(key))
-        return out.unionByName(tiled.applyInPandas(lambda a, b: meet(a, b, most, ratio, best), "a long, b long"))
-
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """(links that span the components, the component of each linked class)."""
+        large = rows.where(F.col("n") > TILE)
+        size = large.groupBy(key).agg(F.ceil(F.count("*") / TILE).cast("int").alias("ti"), F.ceil(F.count_if(~F.col("main")) / TILE).cast("int").alias("tj"))
+        large = large.join(size, key)
+        tile = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        x = large.withColumn("i", tile("ti", 6)).withColumn("j", every("tj")).select("i", "j", *cols)
+        y = large.where(~F.col("main")).withColumn("j", tile("tj", 8)).withColumn("i", every("ti")).select(*[F.col(c).alias(c) for c in ("i", "j", *cols)])  # attributes of their own, for cogroup
+        tiled = x.groupBy(key, "i", "j").cogroup(y.groupBy(key, "i", "j"))
+        return out.unionByName(tiled.applyInPandas(lambda a, b: forest(a, b, most, ratio), "a long, b long"))
+
+    def links(self) -> DataFrame:
+        """(node, component) of the linked classes."""
         stars = self.members.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
         found = materialize(self.confirmed(stars), "confirmed")
-        best = True
-        while True:
-            labels = materialize(components(found), "labels")
-            open_ = self._open_buckets(labels)
-            fresh = materialize(self.confirmed(self._meet(open_, best)), "confirmed")
-            grew = fresh.limit(1).count()
-            if grew:
-                found = found.unionByName(fresh)
-            if not best:
-                return found, materialize(components(found), "labels") if grew else labels
-            best = bool(grew)
+        labels = materialize(components(found), "labels")
+        signed = self.classes.select("rep", "n_shingles", "sketch")
+        open_ = materialize(self._open_buckets(labels), "open")
+        likely = materialize(self._meet(open_.join(signed, "rep"), "h", ["n_shingles", "sketch"], likely_forest), "likely")
+        if not likely.limit(1).count():
+            return labels
+        clusters = components(likely).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+        rows = open_.select("rep", "component").distinct().join(clusters, "component")
+        placed = self._with_main(rows, rows.groupBy("cluster", "component").agg(F.count("*").alias("k")), "cluster")
+        full = placed.join(self.classes.select("rep", "n_shingles", "sketch", "bands"), "rep").join(self.needed, "rep")
+        fresh = materialize(self._meet(full, "cluster", ["n_shingles", "sketch", "bands", "shingles"], linked_forest), "links")
+        return materialize(components(found.unionByName(fresh)), "labels") if fresh.limit(1).count() else labels
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -329,17 +379,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: Fraction =
     # A class is stood for by its smallest id; an id with several texts stands for several classes, so classes are numbered by id and digest.
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.withColumn("rep", F.col("owner")), "classes")
-    doubled = classes.groupBy("rep").count().where("count > 1").limit(1).count()
+    doubled = known.select("doc_id", "digest").distinct().groupBy("doc_id").count().where("count > 1").limit(1).count()
     if doubled:
-        # Ids that own several classes: number classes apart and link them through the id afterwards.
+        # Ids with several texts: number classes apart and link them through the id afterwards.
         classes = materialize(classes.withColumn("rep", F.xxhash64("digest")), "classes")
-    _, labels = Grouping(classes, docs, size, threshold).links()
+    labels = Grouping(classes, docs, size, threshold).links()
     of_class = classes.select("digest", "rep")
     ids = known.select("doc_id", "digest").distinct().join(of_class, "digest")
     ids = ids.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = materialize(ids.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     placed = ids.join(least, "component").select("doc_id", "component_id").distinct()
     if doubled:
+        placed = materialize(placed, "placed")
         merged = components(placed.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "ids")
         placed = placed.select("doc_id").distinct().join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(placed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
