@@ -124,9 +124,9 @@ def macro_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).groupBy("seed", "grp").agg(F.avg("correct").alias("a")).groupBy("seed").agg(r6(F.avg("a")).alias("macro_acc"), F.count("*").alias("n_groups"))
 
 
-@CATALOG.query(PREDS + "SELECT grp AS depth, count(*) AS n, round(avg(correct), 6) AS acc, round(avg(conf), 6) AS conf FROM sc GROUP BY grp")
+@CATALOG.query(PREDS + "SELECT grp AS depth, count(*) AS n, round(avg(correct), 6) AS acc, round(avg(conf), 12) AS conf FROM sc GROUP BY grp")
 def accuracy_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).groupBy(F.col("grp").alias("depth")).agg(F.count("*").alias("n"), r6(F.avg("correct")).alias("acc"), r6(F.avg("conf")).alias("conf"))
+    return scored(spark, sf_dir).groupBy(F.col("grp").alias("depth")).agg(F.count("*").alias("n"), r6(F.avg("correct")).alias("acc"), F.round(F.avg("conf"), 12).alias("conf"))
 
 
 @CATALOG.query(PREDS + """, v AS (SELECT seed, conf, count(*) AS n, sum(correct) AS pos FROM sc GROUP BY seed, conf),
