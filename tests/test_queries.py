@@ -31,3 +31,9 @@ def test_entry_imports_without_extras(spark):
 
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
     assert entry.entry(spark).columns == ["doc_id", "contaminated", "n_shared", "first_item"]
+
+
+def test_exact_jaccard_on_a_small_table(spark, small, con):
+    from granary.operators.dedup import EXACT_JACCARD_SQL
+
+    same(QUERIES["near_dup_exact_jaccard"](spark, small), con, EXACT_JACCARD_SQL)
