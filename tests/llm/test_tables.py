@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -154,6 +155,30 @@ def test_local_search_empties_bins():
     assert len(packing.pack(np.array([5, 5, 4, 3, 3]), 10)) == 2
 
 
+def improvable(lengths, bins, capacity):
+    """Whether some move, one-for-one or two-for-one exchange of two bins raises the sum of squared fills, tried one by one."""
+    sizes = [[int(lengths[i]) for i in b] for b in bins]
+    for a, b in itertools.permutations(sizes, 2):
+        pairs = lambda x: {p + q for p, q in itertools.combinations(x, 2)}
+        steps = itertools.chain(itertools.product(a, {0, *b, *pairs(b)}), itertools.product(pairs(a), b))
+        if any(max(0, sum(a) - sum(b)) < out - back <= capacity - sum(b) for out, back in steps):
+            return True
+    return False
+
+
+def test_local_search_ends_at_an_optimum():
+    # Best fit makes 5+5, 4+4, 3+3+3; the emptiest bin alone is soon stuck, the others reach the least number.
+    assert len(packing.pack(np.repeat([5, 4, 3], [4000, 4000, 8000]), 10)) == 6000
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        capacity = int(rng.choice([10, 30, 100]))
+        low = int(rng.integers(1, capacity // 3))
+        lengths = rng.integers(low, rng.integers(low + 1, capacity * 2 // 3 + 2), rng.integers(1, 50))
+        bins = packing.pack(lengths, capacity)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and all(lengths[b].sum() <= capacity for b in bins)
+        assert lengths.sum() > (len(bins) - 1) * capacity or not improvable(lengths, bins, capacity)
+
+
 def test_top_k_small_blocks(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(90)] + [(91, None), (92, [1.0, None]), (93, [float("nan")]), (94, [float("inf")]), (95, [0.5]), (None, [1.0] * 6), (20, [0.1] * 6)]
