@@ -19,7 +19,8 @@ moments per group and distance bin; the number of bins is a constant, so hot
 groups are summed where they lie and nothing is gathered by group.
 
 Groups under ``LEAST_ROWS`` base-passing texts use the estimate of their whole
-language; languages under that are not judged and pass.
+language; languages under that use the estimate of all texts. Only if the whole
+table has fewer are texts not judged and pass.
 
 Edge cases: null texts have no words and fail; null lang or source is a value
 of its own; equal rows are judged alike; an empty table gives an empty result;
@@ -49,6 +50,8 @@ FLOOR = (12.0, 128.0, 300.0, 250.0)
 H = 0.75
 STEPS = 4
 LEAST_ROWS = 60
+#: The group of all texts; languages are "null" or start with "=".
+EVERY = "all"
 #: The upper 1e-6 and the median of the chi-square distribution with four degrees of freedom.
 CUT, MEDIAN = 33.377, 3.3567
 #: Bins per natural log of (1 + squared distance), and the last bin.
@@ -223,11 +226,13 @@ def judge(docs: DataFrame, keep: list[str] | None = None, cut: float = CUT, leas
     usable = vectors.where(~F.col("base_failed"))
     sizes = usable.groupBy(both.alias("pair"), lang.alias("lng")).agg(F.count("*").alias("n"))
     total = Window.partitionBy("lng")
-    grouped = sizes.withColumn("all", F.sum("n").over(total)).select("pair", F.when(F.col("n") >= least_rows, F.col("pair")).when(F.col("all") >= least_rows, F.col("lng")).alias("grp"))
-    grouped = materialize(grouped, "groups")
+    grouped = sizes.withColumn("all", F.sum("n").over(total)).crossJoin(sizes.agg(F.sum("n").alias("table")))
+    group = F.when(F.col("n") >= least_rows, F.col("pair")).when(F.col("all") >= least_rows, F.col("lng")).when(F.col("table") >= least_rows, F.lit(EVERY))
+    grouped = materialize(grouped.select("pair", group.alias("grp")), "groups")
     large = usable.withColumn("pair", both).join(grouped, "pair").where(F.col("grp").isNotNull())
-    # A language's estimate takes all of its texts, those of large sources too.
-    whole = usable.select(lang.alias("grp"), *STATS).join(grouped.where(~F.col("grp").contains("\x1f")).select("grp").distinct(), "grp", "left_semi")
+    # A language's estimate takes all of its texts, those of large sources too; that of all texts likewise.
+    every = usable.select(F.lit(EVERY).alias("grp"), *STATS)
+    whole = usable.select(lang.alias("grp"), *STATS).unionByName(every).join(grouped.where(~F.col("grp").contains("\x1f")).select("grp").distinct(), "grp", "left_semi")
     rows = large.where(F.col("grp").contains("\x1f")).select("grp", *STATS).unionByName(whole)
     estimates = materialize(mcd_estimates(rows), "mcd")
     placed = vectors.withColumn("pair", both).join(grouped, "pair", "left").join(estimates, "grp", "left")

@@ -62,6 +62,21 @@ def test_distances_equal_numpy(spark, small):
     assert all(r["kept"] == (r["distance"] <= quality_rules.CUT) for r in rows)
 
 
+def test_small_languages_are_judged_by_all_texts(spark):
+    rng = np.random.default_rng(7)
+    words = ["lamp", "river", "stone", "cloud", "garden", "paper", "window", "table", "horse", "yellow"]
+    plain = lambda: " ".join(rng.choice(words, 80))
+    rows = [(i, plain(), "en", "a") for i in range(80)] + [(100 + i, plain(), "xx", "b") for i in range(5)] + [(200, plain().replace("a", "#$"), "xx", "b"), (201, plain().replace("a", "#$"), None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, ["doc_id"]).collect()}
+    judged = [r for r in got.values() if not r["base_failed"]]
+    assert len(judged) >= 80 and all(r["distance"] is not None for r in judged)
+    assert not got[200]["base_failed"] and not got[200]["kept"] and not got[201]["kept"]
+    assert all(got[100 + i]["kept"] for i in range(5) if not got[100 + i]["base_failed"])
+    few = quality_rules.judge(docs.where("lang = 'xx'"), ["doc_id"]).where("not base_failed").collect()
+    assert few and all(r["kept"] and r["distance"] is None for r in few)
+
+
 def test_rules_on_labels_and_odd_tables(spark, odd, nothing):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
