@@ -34,13 +34,14 @@ do so still less often.
 Edge cases: null or wordless texts have an empty set, are linked with nothing
 and stay; texts of fewer words than a shingle are one shingle; rows with equal
 ids are one node, whose texts' links all count; a row without an id is in no
-group and stays; an empty table gives an empty result; other columns are only
-carried by ``unique_documents``.
+group and stays, but ``unique_documents`` groups it by its text; an empty table
+gives an empty result; other columns are only carried by ``unique_documents``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -397,10 +398,35 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: Fraction =
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, key, no_id, text) of every row: the key is the id, or a hash of the text where there is none, one that no id and no other text has."""
+    text_hash = lambda seed: F.xxhash64("text", F.col("text").isNull(), F.lit(seed))
+    nameless = docs.where("doc_id is null")
+    seed = 17
+    if nameless.limit(1).count():
+        for seed in itertools.count(seed):
+            keys = nameless.select(text_hash(seed).alias("key"), F.sha2("text", 256).alias("digest")).distinct()
+            taken = keys.groupBy("key").count().where("count > 1").limit(1).count() or keys.join(docs.select(F.col("doc_id").alias("key")), "key", "left_semi").limit(1).count()
+            if not taken:
+                break
+    return docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", text_hash(seed)).alias("key"), F.col("doc_id").isNull().alias("no_id"), "text")
+
+
 def unique_documents(docs: DataFrame, size: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """The documents that stand for their group, with all their columns; equal ids are one document, the first by text hash."""
-    gone = near_duplicates(docs, size, threshold).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+    """One row of each group, with all its columns: the one with the smallest id.
+
+    Rows with equal ids are one document, the first by text hash. Rows without
+    an id are one document if their texts are equal, and come after all ids.
+    """
+    rows = _keyed(docs)
+    grouped = near_duplicates(rows.select(F.col("key").alias("doc_id"), "text"), size, threshold).groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("component"))
+    keys = rows.groupBy("key").agg(F.max("no_id").alias("no_id"), F.count("*").alias("n"))
+    placed = materialize(keys.join(grouped, "key"), "placed")
+    chosen = placed.groupBy("component").agg(F.min(F.struct("no_id", "key", "n")).alias("c")).select("c.key", "c.n")
+    one = rows.join(chosen.where("n = 1").select("key"), "key", "left_semi").select("row")
+    several = rows.join(chosen.where("n > 1").select("key"), "key", "left_semi")
+    first = several.groupBy("key").agg(F.min_by("row", F.struct(F.xxhash64("text"), F.xxhash64(F.to_json("row")))).alias("row")).select("row")
+    return one.unionByName(first).select("row.*")
 
 
 def op4_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,18 @@ def test_cases(spark, odd, nothing):
     assert kept.columns == odd.columns and kept.where("doc_id = 2").count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a, "k")] * 5 + [(4, a, None), (2, b, "k"), (2, c, "k"), (None, a, "k"), (None, d, "x"), (None, d, "y"), (None, d + " more", "z"), (None, None, "n"), (None, None, "n"), (None, "", "e"), (7, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    got = neardup.unique_documents(docs)
+    out = got.collect()
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in out if r["doc_id"] is not None) == [1, 2, 7]
+    nameless = [r["text"] for r in out if r["doc_id"] is None]
+    assert len(nameless) == 3 and None in nameless and "" in nameless and {d, d + " more"} & set(nameless)
+
+
 def test_ids_with_several_texts_join_their_groups(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     check(spark, [(1, a), (1, b), (5, b), (7, a), (9, "alone here now")], 3, Fraction(85, 100))
