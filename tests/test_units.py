@@ -136,3 +136,23 @@ def test_readers(spark, tmp_path):
 def test_mixture_settings():
     assert Mixture().check() == []
     assert len(Mixture(gram=0, val_share=2, caps={"x": 0}).check()) == 3
+
+
+def test_exact_jaccard_of_frequent_grams(spark, tmp_path):
+    """Groups of nine or more, whose grams all are frequent, against all pairs."""
+    from granary.operators.dedup import near_dup_exact_jaccard
+
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words)] * 10 + [" ".join([*words, *[f"x{k}" for k in range(k % 4)]]) for k in range(12)] + [" ".join(words[:25]), " ".join(words[3:38]), "four words are short", "four words are short", "some other text of nine words stands alone here"]
+    rows = [(i * 7 % 101, t) for i, t in enumerate(texts)]
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    grams = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    want = {}
+    for b in grams:
+        near = {a: len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in grams if a < b and grams[a] and grams[b]}
+        near = {a: j for a, j in near.items() if j >= 0.8}
+        if near:
+            want[b] = (min(near), round(max(near.values()), 6))
+    assert len(want) > 15
+    assert {r["doc_id"]: (r["like_id"], r["jaccard"]) for r in near_dup_exact_jaccard(spark, folder).collect()} == want
