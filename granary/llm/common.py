@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -17,8 +20,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a default of our own where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, it is a folder of our own in local mode (tests), an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return root or "file:///tmp/checkpoints"
+
+
+#: Paths of scratch tables, in the order of writing, for those who release them.
+_written: list[str] = []
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    _written.append(f"{scratch_root(spark)}/granary/{label}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _written.remove(p)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables written in the block go at its end: everything that reads them must be written by then."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        release(spark, [p for p in _written if p not in before])
+
+
+def save(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -27,10 +65,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage without a single-copy local checkpoint: an executor that
     is lost later only costs a re-read of the written files.
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/granary/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return save(df, scratch_path(df.sparkSession, label))
+
+
+def measured(df: DataFrame, label: str, **figures: Column) -> tuple[DataFrame, dict]:
+    """``materialize``, and aggregates of the rows as they were written, without a second pass over them."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[v.alias(k) for k, v in figures.items()]), label)
+    return out, seen.get
 
 
 def held_out(doc_id: Column) -> Column:

@@ -50,18 +50,18 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialize, table
+from granary.llm.common import materialize, measured, table
 
 SHINGLE, THRESHOLD = 5, Fraction(4, 5)
 ROWS = 5
 MISS = 1e-9
 SKETCH_BITS, SKETCH_SAMPLES = 2048, 320
 SLACK = 6.0
-#: Classes of a bucket that are compared at once in memory.
-TILE = 1024
+#: What is compared at once in memory: so many classes, and so many bytes of their sets.
+TILE, TILE_BYTES = 1024, 1 << 24
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -148,50 +148,61 @@ def most_different_bits(threshold: Fraction, samples: int, bits: int = SKETCH_BI
 
 
 def _signatures(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
-    """(doc_id, n_shingles, set digest, bands, sketch) of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    """(doc_id, text_hash, n_shingles, set digest, bands, sketch) of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, last = Signer(threshold), {}
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for text in batch.column(2):
                 s = shingle_set(text.as_py(), size)
                 if not len(s):
-                    rows.append((doc_id.as_py(), 0, None, None, None))
+                    rows.append((0, None, None, None))
                     continue
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 if digest not in last:
                     last = last if len(last) < 2000 else {}
                     last[digest] = signer.sign(s)
-                rows.append((doc_id.as_py(), len(s), digest, *last[digest]))
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                rows.append((len(s), digest, *last[digest]))
+            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(4)]
+            made = [pa.array(c, f.type) for c, f in zip(cols, list(schema)[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
+    return docs.select("doc_id", _text_hash(), "text").mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, sketch binary")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64("text", F.lit(29)).alias("text_hash")
 
 
 def components(links: DataFrame, label: str = "links") -> DataFrame:
-    """(node, component) of every node in ``links(a, b)``: the smallest node reachable. Large-star and small-star until nothing changes."""
-    edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
+    """(node, component) of every node in ``links(a, b)``: the smallest node reachable.
 
-    def spread(e: DataFrame) -> DataFrame:
-        return e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    A round is a large-star and a small-star step, written once; the number of
+    edges and the sum of their hashes, taken while they are written, say whether
+    it changed anything.
+    """
+    spark = links.sparkSession
+    figures = {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))}
 
-    while True:
-        both = spread(edges)
+    def star(edges: DataFrame) -> DataFrame:
+        """Each larger neighbour of a node is tied to the node's smallest one, then each node's smaller neighbours to the smallest of them."""
+        both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = materialize(large, label)
+        large = edges.join(low, edges["b"] == low["u"]).select("a", F.col("m").alias("b"))
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        small = materialize(small, label)
-        changed = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
-        edges = small
-        if not changed:
+        ties = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        return ties.select("e.a", "e.b").where("a <> b").distinct()
+
+    edges, seen = measured(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label, **figures)
+    while seen["n"]:
+        edges, now = measured(star(edges), label, **figures)
+        if now == seen:
             break
-    stars = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
-    return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct().join(stars.select("node"), "node", "left_anti"))
+        seen = now
+    # A fixed point is a forest of stars: each node has one edge, to a centre that has none.
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -250,6 +261,12 @@ def likely_forest(x: pd.DataFrame, y: pd.DataFrame, most: int, ratio: tuple[int,
     return _pairs([(int(a), int(b)) for a, b in ends if sets.join(int(a), int(b))])
 
 
+def common_count(u: np.ndarray, v: np.ndarray) -> int:
+    """How many elements two sorted sets share."""
+    at = np.searchsorted(v, u)
+    return int(np.count_nonzero(v[np.minimum(at, len(v) - 1)] == u))
+
+
 def linked_forest(x: pd.DataFrame, y: pd.DataFrame, most: int, ratio: tuple[int, int]) -> pd.DataFrame:
     """A spanning forest, over components, of the links: admitted pairs that share a band are confirmed on full sets, nearest first, while their components are apart."""
     if not len(x) or not len(y):
@@ -258,16 +275,12 @@ def linked_forest(x: pd.DataFrame, y: pd.DataFrame, most: int, ratio: tuple[int,
     i, j = admitted(x, y, most, ratio)
     sets, cx, cy = Sets(), x["component"].tolist(), y["component"].tolist()
     bx, by, sx, sy = x["bands"].tolist(), y["bands"].tolist(), x["shingles"].tolist(), y["shingles"].tolist()
-    found, left, right = [], {}, {}
+    found = []
     for a, b in zip(i.tolist(), j.tolist(), strict=True):
         if sets.find(cx[a]) == sets.find(cy[b]) or not (np.asarray(bx[a]) == np.asarray(by[b])).any():
             continue
-        if a not in left:
-            left[a] = set(sx[a])
-        if b not in right:
-            right[b] = set(sy[b])
-        u, v = left[a], right[b]
-        common = len(u & v)
+        u, v = (np.asarray(s, np.int64).view(np.uint64) for s in (sx[a], sy[b]))
+        common = common_count(u, v)
         if q * common >= p * (len(u) + len(v) - common):
             sets.join(cx[a], cy[b])
             found.append((cx[a], cy[b]))
@@ -286,9 +299,8 @@ class Grouping:
         self.needed = materialize(self._sets(), "sets")
 
     def _sets(self) -> DataFrame:
-        """(rep, shingles) of the classes that share a bucket, from their texts."""
+        """(rep, shingles) of the classes that share a bucket, each from one text of its owner."""
         size = self.size
-        wanted = self.members.select("rep").distinct()
 
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -296,9 +308,10 @@ class Grouping:
                 fit = [k for k, s in enumerate(sets) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == batch.column(1)[k].as_py()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fit, pa.int64())), pa.array([sets[k].astype(np.int64) for k in fit], pa.list_(pa.int64()))], names=["rep", "shingles"])
 
-        texts = self.docs.select("doc_id", "text").where("doc_id is not null")
-        chosen = self.classes.join(wanted, "rep", "left_semi").select("rep", "digest", F.col("owner").alias("doc_id"))
-        return texts.join(chosen, "doc_id").select("rep", "digest", "text").mapInArrow(collect, "rep long, shingles array<long>").dropDuplicates(["rep"])
+        texts = self.docs.where("doc_id is not null").select("doc_id", _text_hash(), "text").dropDuplicates(["doc_id", "text_hash"])
+        wanted = self.members.select("rep").distinct()
+        chosen = self.classes.join(wanted, "rep", "left_semi").select("rep", "digest", F.col("owner").alias("doc_id"), "text_hash")
+        return texts.join(chosen, ["doc_id", "text_hash"]).select("rep", "digest", "text").mapInArrow(collect, "rep long, shingles array<long>")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that reach the threshold: by sizes and sketches, then on full sets."""
@@ -318,35 +331,32 @@ class Grouping:
         both = likely.join(sets("b"), "b").join(sets("a"), "a").withColumn("common", F.size(F.array_intersect("xa", "xb")))
         return both.where(q * F.col("common") >= p * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
-    def _open_buckets(self, labels: DataFrame) -> DataFrame:
-        """(h, rep, component, n, main): members of the buckets that hold several components."""
-        placed = self.members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("component"))
-        counted = placed.groupBy("h", "component").agg(F.count("*").alias("k"))
-        return self._with_main(placed, counted, "h")
-
-    def _with_main(self, rows: DataFrame, counted: DataFrame, key: str) -> DataFrame:
-        """Rows of keys with several components, with the key's size and whether their component is its largest."""
-        several = counted.groupBy(key).agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("n"), F.count("*").alias("c")).where("c > 1")
-        return rows.join(several.select(key, "n", F.col("top.component").alias("most")), key).withColumn("main", F.col("component") == F.col("most")).drop("most")
+    def _with_main(self, rows: DataFrame, key: str, label: str) -> tuple[DataFrame, float]:
+        """Rows (with their weight ``w``, in tiles) of keys with several components, with the key's ``load`` and whether their component is its largest; and how many tiles the keys make that fit one."""
+        counted = rows.groupBy(key, "component").agg(F.count("*").alias("k"), F.sum("w").alias("w"))
+        several = counted.groupBy(key).agg(F.max(F.struct("k", "component")).alias("top"), F.sum("w").alias("load"), F.count("*").alias("c")).where("c > 1")
+        placed = rows.join(several.select(key, "load", F.col("top.component").alias("most")), key).withColumn("main", F.col("component") == F.col("most")).drop("most")
+        out, seen = measured(placed, label, few=F.sum(F.when(F.col("load") <= 1, F.col("w"))))
+        return out, seen["few"] or 0.0
 
-    def _meet(self, rows: DataFrame, key: str, columns: list[str], forest) -> DataFrame:
+    def _meet(self, rows: DataFrame, few_tiles: float, key: str, columns: list[str], forest) -> DataFrame:
         """Pairs of components from ``forest(x, y, ...)`` over the rows of each key.
 
-        Keys with few rows share tasks. The others are cut into tiles: tiles of
-        all rows meet tiles of the rows outside the key's main component, as
-        rows within it need not meet.
+        Keys that fit a tile share tasks of about a tile. The others are cut
+        into tiles: tiles of all rows meet tiles of the rows outside the key's
+        main component, as rows within it need not meet.
         """
         most, ratio = self.most, (self.threshold.numerator, self.threshold.denominator)
         cols = [key, "component", "main", *columns]
-        tasks = max(1, rows.where(F.col("n") <= TILE).count() // 5_000)
+        tasks = max(1, math.ceil(few_tiles))
 
         def small(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.concat([forest(g, g[~g["main"]], most, ratio) for _, g in pdf.groupby(key, sort=False)], ignore_index=True)
 
-        few = rows.where(F.col("n") <= TILE).withColumn("task", F.pmod(F.xxhash64(key, F.lit(4)), F.lit(tasks)))
+        few = rows.where(F.col("load") <= 1).withColumn("task", F.pmod(F.xxhash64(key, F.lit(4)), F.lit(tasks)))
         out = few.select("task", *cols).groupBy("task").applyInPandas(small, "a long, b long")
-        large = rows.where(F.col("n") > TILE)
-        size = large.groupBy(key).agg(F.ceil(F.count("*") / TILE).cast("int").alias("ti"), F.ceil(F.count_if(~F.col("main")) / TILE).cast("int").alias("tj"))
+        large = rows.where(F.col("load") > 1)
+        size = large.groupBy(key).agg(F.ceil(F.sum("w")).cast("int").alias("ti"), F.ceil(F.sum(F.when(F.col("main"), 0.0).otherwise(F.col("w")))).cast("int").alias("tj"))
         large = large.join(size, key)
         tile = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -357,41 +367,47 @@ class Grouping:
 
     def links(self) -> DataFrame:
         """(node, component) of the linked classes."""
+        count = {"n": F.count(F.lit(1))}
         stars = self.members.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
-        found = materialize(self.confirmed(stars), "confirmed")
-        labels = materialize(components(found), "labels")
+        labels = materialize(components(self.confirmed(stars)), "labels")
+        at = self.members.select("h", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        open_, few = self._with_main(at.select("h", "rep", F.coalesce("component", "rep").alias("component"), F.lit(1 / TILE).alias("w")), "h", "open")
         signed = self.classes.select("rep", "n_shingles", "sketch")
-        open_ = materialize(self._open_buckets(labels), "open")
-        likely = materialize(self._meet(open_.join(signed, "rep"), "h", ["n_shingles", "sketch"], likely_forest), "likely")
-        if not likely.limit(1).count():
-            return labels
+        likely = materialize(self._meet(open_.join(signed, "rep"), few, "h", ["n_shingles", "sketch"], likely_forest), "likely")
         clusters = components(likely).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
-        rows = open_.select("rep", "component").distinct().join(clusters, "component")
-        placed = self._with_main(rows, rows.groupBy("cluster", "component").agg(F.count("*").alias("k")), "cluster")
+        weight = (1 / TILE + 8 * F.col("n_shingles") / TILE_BYTES).alias("w")
+        rows = open_.select("rep", "component").distinct().join(clusters, "component").join(self.classes.select("rep", weight), "rep")
+        placed, few = self._with_main(rows, "cluster", "placed")
         full = placed.join(self.classes.select("rep", "n_shingles", "sketch", "bands"), "rep").join(self.needed, "rep")
-        fresh = materialize(self._meet(full, "cluster", ["n_shingles", "sketch", "bands", "shingles"], linked_forest), "links")
-        return materialize(components(found.unionByName(fresh)), "labels") if fresh.limit(1).count() else labels
+        fresh, seen = measured(self._meet(full, few, "cluster", ["n_shingles", "sketch", "bands", "shingles"], linked_forest), "links", **count)
+        if not seen["n"]:
+            return labels
+        # The new links join components: label those, and pass the labels on to their members.
+        merged = materialize(components(fresh), "merged")
+        moved = labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        return materialize(moved.unionByName(merged.join(labels, "node", "left_anti")), "labels")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     signed = materialize(_signatures(docs, size, threshold), "signed")
     known = signed.where("digest is not null and doc_id is not null")
-    # A class is stood for by its smallest id; an id with several texts stands for several classes, so classes are numbered by id and digest.
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes.withColumn("rep", F.col("owner")), "classes")
-    doubled = known.select("doc_id", "digest").distinct().groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if doubled:
-        # Ids with several texts: number classes apart and link them through the id afterwards.
-        classes = materialize(classes.withColumn("rep", F.xxhash64("digest")), "classes")
+    # A class is stood for by its smallest id; if an id with several texts stands for several classes, they are numbered as they are written.
+    own = F.min(F.struct("doc_id", "text_hash")).alias("own")
+    classes = known.groupBy("digest").agg(own, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.select("digest", F.col("own.doc_id").alias("owner"), F.col("own.text_hash").alias("text_hash"), "n_shingles", "bands", "sketch", F.monotonically_increasing_id().alias("number")), "classes")
+    ids, seen = measured(known.groupBy("doc_id", "digest").agg(F.lit(1).alias("one")).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("digest").alias("digest")), "ids", doubled=F.max("n"))
+    doubled = (seen["doubled"] or 0) > 1
+    classes = classes.withColumn("rep", F.col("number" if doubled else "owner"))
     labels = Grouping(classes, docs, size, threshold).links()
-    of_class = classes.select("digest", "rep")
-    ids = known.select("doc_id", "digest").distinct().join(of_class, "digest")
-    ids = ids.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = materialize(ids.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
-    placed = ids.join(least, "component").select("doc_id", "component_id").distinct()
+    of_class = classes.select("digest", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    pairs = known.select("doc_id", "digest").distinct() if doubled else ids.select("doc_id", "digest")
+    ids = pairs.join(of_class, "digest")
+    least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    placed = ids.join(least, "component").select("doc_id", "component_id")
     if doubled:
-        placed = materialize(placed, "placed")
+        # The texts of one id link their groups.
+        placed = materialize(placed.distinct(), "placed")
         merged = components(placed.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "ids")
         placed = placed.select("doc_id").distinct().join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(placed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
