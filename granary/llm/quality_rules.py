@@ -18,13 +18,17 @@ would be singular. Each step is one pass over the written vectors that adds up
 moments per group and distance bin; the number of bins is a constant, so hot
 groups are summed where they lie and nothing is gathered by group.
 
-Groups under ``LEAST_ROWS`` base-passing texts use the estimate of their whole
-language; languages under that use the estimate of all texts. Only if the whole
-table has fewer are texts not judged and pass.
+Every language and source has an estimate of its own rows, every language one of
+all its rows, and the whole table one. A group's estimate leans on the one
+above it as if ``PRIOR_ROWS`` rows of that were its own: mean and covariance are
+weighted by rows against ``PRIOR_ROWS``. So a group of few texts is judged by its
+language, a language of few texts by all texts, without a size at which the
+rule changes.
 
 Edge cases: null texts have no words and fail; null lang or source is a value
 of its own; equal rows are judged alike; an empty table gives an empty result;
-the input's columns are only read.
+a table of a few texts is judged by the estimate of those few; the input's
+columns are only read.
 """
 
 from __future__ import annotations
@@ -49,8 +53,9 @@ STATS = ("x_length", "x_symbols", "x_lines", "x_repeats")
 FLOOR = (12.0, 128.0, 300.0, 250.0)
 H = 0.75
 STEPS = 4
-LEAST_ROWS = 60
-#: The group of all texts; languages are "null" or start with "=".
+#: So many rows of the group above count for an estimate.
+PRIOR_ROWS = 60
+#: The group of all texts; languages are "null" or start with "=", and sources follow them after a separator.
 EVERY = "all"
 #: The upper 1e-6 and the median of the chi-square distribution with four degrees of freedom.
 CUT, MEDIAN = 33.377, 3.3567
@@ -134,12 +139,11 @@ def with_vectors(counts: DataFrame) -> DataFrame:
     )
 
 
-def _quantile(rows: DataFrame, value: str, q: float, name: str) -> DataFrame:
-    """(grp, name): the smallest value that at least a share ``q`` of a group's rows doesn't exceed, from counts by value."""
-    counted = rows.groupBy("grp", F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy("grp")
-    ranked = counted.select("grp", "_v", F.sum("_n").over(w.orderBy("_v")).alias("_to"), F.sum("_n").over(w).alias("_all"))
-    return ranked.where(F.col("_to") >= F.ceil(q * F.col("_all"))).groupBy("grp").agg(F.min("_v").alias(name))
+def _quantile(counted: DataFrame, keys: list[str], q: float, name: str) -> DataFrame:
+    """(keys, name): the smallest value ``v`` that at least a share ``q`` of a group's rows doesn't exceed, from ``counted(keys, v, n)``."""
+    w = Window.partitionBy(*keys)
+    ranked = counted.select(*keys, "v", F.sum("n").over(w.orderBy("v")).alias("_to"), F.sum("n").over(w).alias("_all"))
+    return ranked.where(F.col("_to") >= F.ceil(q * F.col("_all"))).groupBy(*keys).agg(F.min("v").alias(name))
 
 
 def _cholesky(cov: dict[tuple[int, int], Column]) -> dict[str, Column]:
@@ -155,14 +159,27 @@ def _cholesky(cov: dict[tuple[int, int], Column]) -> dict[str, Column]:
     return out
 
 
+def _names() -> list[str]:
+    """What an estimate has beside its group: rows, means, covariances."""
+    d = range(len(STATS))
+    return ["n", *[f"m{i}" for i in d], *[f"c{i}{j}" for i in d for j in range(i + 1)]]
+
+
 def _estimate(moments: DataFrame) -> DataFrame:
-    """Mean and root of the covariance, with floors, from sums: columns n, s0.., s00.. by grp."""
+    """Mean and covariance, with floors, from sums: columns n, s0.., s00.. by grp."""
     d = range(len(STATS))
-    out = moments.select("grp", "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in d], *[F.col(f"s{i}{j}") for i in d for j in range(i + 1)])
-    cov = {(i, j): F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + (FLOOR[i] ** 2 if i == j else 0.0) for i in d for j in range(i + 1)}
-    for name, value in _cholesky(cov).items():
+    mean = [(F.col(f"s{i}") / F.col("n")) for i in d]
+    cov = [(F.col(f"s{i}{j}") / F.col("n") - mean[i] * mean[j] + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in d for j in range(i + 1)]
+    return moments.select("grp", "n", *[mean[i].alias(f"m{i}") for i in d], *cov)
+
+
+def _rooted(estimate: DataFrame, *more: str) -> DataFrame:
+    """Means and the root of the covariance."""
+    d = range(len(STATS))
+    out = estimate
+    for name, value in _cholesky({(i, j): F.col(f"c{i}{j}") for i in d for j in range(i + 1)}).items():
         out = out.withColumn(name, value)
-    return out.select("grp", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)])
+    return out.select("grp", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)], *more)
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -181,20 +198,22 @@ def _bin(d2: Column) -> Column:
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """Medians and median deviations as a first estimate, statistics taken as independent."""
+    """Medians and median deviations as a first estimate, statistics taken as independent: one pass over the rows counts all values."""
     d = range(len(STATS))
-    mid = reduce(lambda a, b: a.join(b, "grp"), [_quantile(rows, name, 0.5, f"m{i}") for i, name in enumerate(STATS)])
-    mid = materialize(mid, "medians")
-    apart = rows.join(mid, "grp").select("grp", *[F.abs(F.col(name) - F.col(f"m{i}")).alias(f"a{i}") for i, name in enumerate(STATS)])
-    spread = reduce(lambda a, b: a.join(b, "grp"), [_quantile(apart, f"a{i}", 0.5, f"d{i}") for i in d])
-    root = [(F.sqrt(F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOOR[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in d for j in range(i + 1)]
-    return mid.join(spread, "grp").select("grp", *[F.col(f"m{i}").cast("double").alias(f"m{i}") for i in d], *root)
+    each = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(name).alias("v")) for i, name in enumerate(STATS)])).alias("s"))
+    counted = materialize(each.groupBy("grp", "s.k", "s.v").agg(F.count("*").alias("n")), "values")
+    mid = _quantile(counted, ["grp", "k"], 0.5, "mid")
+    apart = counted.join(mid, ["grp", "k"]).groupBy("grp", "k", F.abs(F.col("v") - F.col("mid")).alias("v")).agg(F.sum("n").alias("n"), F.first("mid").alias("mid"))
+    spread = _quantile(apart, ["grp", "k"], 0.5, "dev").join(mid, ["grp", "k"])
+    at = lambda c, i: F.max(F.when(F.col("k") == i, F.col(c)))
+    cov = [(F.pow(1.4826 * at("dev", i), F.lit(2)) + FLOOR[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in d for j in range(i + 1)]
+    return spread.groupBy("grp").agg(*[at("mid", i).cast("double").alias(f"m{i}") for i in d], *cov)
 
 
 def _step(rows: DataFrame, estimate: DataFrame, h: float) -> DataFrame:
     """One concentration step: the estimate from the share ``h`` of rows nearest to the last one."""
     d = range(len(STATS))
-    binned = _distance(rows.join(estimate, "grp")).withColumn("bin", _bin(F.col("d2")))
+    binned = _distance(rows.join(_rooted(estimate), "grp")).withColumn("bin", _bin(F.col("d2")))
     sums = [F.count("*").alias("n")] + [F.sum(STATS[i]).alias(f"s{i}") for i in d] + [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"s{i}{j}") for i in d for j in range(i + 1)]
     by_bin = binned.groupBy("grp", "bin").agg(*sums)
     w = Window.partitionBy("grp")
@@ -203,50 +222,56 @@ def _step(rows: DataFrame, estimate: DataFrame, h: float) -> DataFrame:
     return _estimate(near.groupBy("grp").agg(*[F.sum(x).alias(x) for x in names]))
 
 
-def mcd_estimates(rows: DataFrame, h: float = H, steps: int = STEPS) -> DataFrame:
-    """Robust mean, root of the covariance and distance scale of each ``grp`` of rows with the columns ``STATS``."""
+def _leaning(own: DataFrame, groups: DataFrame, values: list[str], prior: float) -> DataFrame:
+    """The values of each group with ``prior`` rows of its parent's, those of its parent's parent first. ``own`` has grp, n and values; ``groups`` grp and parent."""
+    share = F.col("n") / (F.col("n") + F.lit(float(prior)))
+    placed = own.join(groups, "grp")
+    above = placed.where("parent is null").select(F.col("grp").alias("parent"), *[F.col(v).alias(f"_{v}") for v in values])
+    mixed = lambda rows, top: rows.join(top, "parent").select("grp", "parent", *[(share * F.col(v) + (1 - share) * F.col(f"_{v}")).alias(v) for v in values])
+    middle = mixed(placed.where(F.col("parent") == EVERY), above)
+    low = mixed(placed.where(F.col("parent").isNotNull() & (F.col("parent") != EVERY)), middle.select(F.col("grp").alias("parent"), *[F.col(v).alias(f"_{v}") for v in values]))
+    return placed.where("parent is null").select("grp", *values).unionByName(middle.select("grp", *values)).unionByName(low.select("grp", *values))
+
+
+def mcd_estimates(rows: DataFrame, h: float = H, steps: int = STEPS, prior: float = PRIOR_ROWS) -> DataFrame:
+    """Robust mean, root of the covariance and distance scale of each ``grp`` of rows(grp, parent, STATS); ``parent`` names the group above, null for the topmost."""
     estimate = materialize(_start(rows), "estimate")
     for _ in range(steps):
         estimate = materialize(_step(rows, estimate, h), "estimate")
-    middle = _quantile(_distance(rows.join(estimate, "grp")).withColumn("bin", _bin(F.col("d2"))), "bin", 0.5, "mid")
+    groups = rows.groupBy("grp").agg(F.first("parent").alias("parent"))
+    leaned = materialize(_rooted(_leaning(estimate, groups, _names()[1:], prior)), "leaned")
+    counted = _distance(rows.join(leaned, "grp")).groupBy("grp", "parent", _bin(F.col("d2")).alias("v")).agg(F.count("*").alias("n"))
+    counted = materialize(counted, "bins")
+    middle = _quantile(counted, ["grp"], 0.5, "mid").join(counted.groupBy("grp").agg(F.sum("n").alias("n")), "grp").withColumn("mid", F.col("mid").cast("double"))
     scale = F.greatest(F.lit(1.0), (F.exp(F.col("mid") / BINS) - 1) / MEDIAN)
-    return estimate.join(middle, "grp").withColumn("scale", scale).drop("mid")
+    return leaned.join(_leaning(middle, groups, ["mid"], prior), "grp").withColumn("scale", scale).drop("mid")
 
 
-def judge(docs: DataFrame, keep: list[str] | None = None, cut: float = CUT, least_rows: int = LEAST_ROWS) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str] | None = None, cut: float = CUT, prior: float = PRIOR_ROWS) -> DataFrame:
     """The columns ``keep`` (all but the text if none are named), the counts, ``base_failed``, ``distance`` and ``kept``."""
     keep = keep if keep is not None else [c for c in docs.columns if c != "text"]
     keep = [c for c in keep if c not in OUTPUTS]
-    aside = [c for c in keep if c not in ("lang", "source")]
-    source = docs.select(*[F.col(c).alias(f"in_{c}") for c in aside], "text", "lang", "source")
-    own = with_counts(source, [*[f"in_{c}" for c in aside], "lang", "source"])
-    vectors = materialize(with_vectors(own), "vectors")
+    scored = _judged(docs, keep, cut, prior)
+    return scored.select(*[F.col("row")[c].alias(c) for c in keep], *OUTPUTS)
+
+
+def _judged(docs: DataFrame, keep: list[str], cut: float = CUT, prior: float = PRIOR_ROWS) -> DataFrame:
+    """(row, OUTPUTS): the columns ``keep`` as one struct, so that no name of theirs meets ours."""
     value = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    lang, both = value("lang"), F.concat_ws("\x1f", value("lang"), value("source"))
-    usable = vectors.where(~F.col("base_failed"))
-    sizes = usable.groupBy(both.alias("pair"), lang.alias("lng")).agg(F.count("*").alias("n"))
-    total = Window.partitionBy("lng")
-    grouped = sizes.withColumn("all", F.sum("n").over(total)).crossJoin(sizes.agg(F.sum("n").alias("table")))
-    group = F.when(F.col("n") >= least_rows, F.col("pair")).when(F.col("all") >= least_rows, F.col("lng")).when(F.col("table") >= least_rows, F.lit(EVERY))
-    grouped = materialize(grouped.select("pair", group.alias("grp")), "groups")
-    large = usable.withColumn("pair", both).join(grouped, "pair").where(F.col("grp").isNotNull())
-    # A language's estimate takes all of its texts, those of large sources too; that of all texts likewise.
-    every = usable.select(F.lit(EVERY).alias("grp"), *STATS)
-    whole = usable.select(lang.alias("grp"), *STATS).unionByName(every).join(grouped.where(~F.col("grp").contains("\x1f")).select("grp").distinct(), "grp", "left_semi")
-    rows = large.where(F.col("grp").contains("\x1f")).select("grp", *STATS).unionByName(whole)
-    estimates = materialize(mcd_estimates(rows), "mcd")
-    placed = vectors.withColumn("pair", both).join(grouped, "pair", "left").join(estimates, "grp", "left")
-    scored = _distance(placed).withColumn("distance", F.col("d2") / F.col("scale"))
-    verdict = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
-    back = [F.col(f"in_{c}").alias(c) if c in aside else F.col(c) for c in keep]
-    return scored.select(*back, *OUTPUTS[:6], verdict.alias("kept"), F.when(~F.col("base_failed"), F.col("distance")).alias("distance"))
+    # Hashes stand for nothing here: names of groups are whole, with the language first.
+    source = docs.select(F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in keep]).alias("row"), "text", value("lang").alias("lng"), F.concat_ws("\x1f", value("lang"), value("source")).alias("pair"))
+    vectors = materialize(with_vectors(with_counts(source, ["row", "lng", "pair"])), "vectors")
+    named = lambda grp, parent: F.struct(F.col(grp).alias("grp") if grp != EVERY else F.lit(EVERY).alias("grp"), parent.alias("parent"))
+    levels = F.array(named("pair", F.col("lng")), named("lng", F.lit(EVERY)), named(EVERY, F.lit(None).cast("string")))
+    rows = vectors.where(~F.col("base_failed")).select(F.explode(levels).alias("g"), *STATS).select("g.grp", "g.parent", *STATS)
+    estimates = materialize(mcd_estimates(rows, prior=prior), "mcd").withColumnRenamed("grp", "pair")
+    scored = _distance(vectors.join(estimates, "pair", "left")).withColumn("distance", F.when(~F.col("base_failed"), F.col("d2") / F.col("scale")))
+    return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))).select("row", *OUTPUTS)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns and nothing else. Verdicts are joined back by id and text hash."""
-    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text", F.lit(13)).alias("hash"), F.col("lang").alias("lang"), F.col("source").alias("source"))
-    good = judge(docs.select(F.to_json(key).alias("key"), "text", "lang", "source"), ["key"]).where("kept").select(F.col("key").alias("good")).distinct()
-    return docs.join(good, F.to_json(key) == good["good"], "left_semi")
+    """The documents that pass, with all their columns and nothing else, carried beside their counts: no join back, no shuffle of texts."""
+    return _judged(docs, docs.columns).where("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op6_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

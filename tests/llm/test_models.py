@@ -32,8 +32,8 @@ def test_counts_equal_brute_force(spark, small, odd):
             assert r["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0])
 
 
-def brute_mcd(x, steps=quality_rules.STEPS, h=quality_rules.H):
-    """The same concentration steps in numpy, on one group."""
+def brute_mcd(x, steps=quality_rules.STEPS, h=quality_rules.H, estimate=False):
+    """The same concentration steps in numpy, on one group: its distances, or (rows of the last step, mean, covariance)."""
     def low(v, q):
         return np.sort(v)[int(np.ceil(q * len(v))) - 1]
 
@@ -43,7 +43,7 @@ def brute_mcd(x, steps=quality_rules.STEPS, h=quality_rules.H):
     for _ in range(steps + 1):
         d2 = np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean)
         if _ == steps:
-            return d2
+            return (len(near), mean, cov) if estimate else d2
         bins = np.minimum(np.round(np.log1p(d2) * quality_rules.BINS), quality_rules.LAST_BIN)
         near = x[bins <= low(bins, h)]
         mean, cov = near.mean(0), np.cov(near.T, bias=True) + np.diag(floor**2)
@@ -54,7 +54,7 @@ def test_distances_equal_numpy(spark, small):
     got = quality_rules.judge(docs.withColumn("source", docs["lang"]), ["doc_id"]).collect()
     vec = {r["doc_id"]: [r[s] for s in quality_rules.STATS] for r in quality_rules.with_vectors(quality_rules.with_counts(docs, ["doc_id"])).collect()}
     rows = [r for r in got if not r["base_failed"]]
-    assert len(rows) >= quality_rules.LEAST_ROWS
+    assert len(rows) >= 60
     d2 = brute_mcd(np.array([vec[r["doc_id"]] for r in rows], float))
     bins = np.round(np.log1p(d2) * quality_rules.BINS)
     scale = max(1.0, (np.exp(np.sort(bins)[int(np.ceil(0.5 * len(bins))) - 1] / quality_rules.BINS) - 1) / quality_rules.MEDIAN)
@@ -62,7 +62,7 @@ def test_distances_equal_numpy(spark, small):
     assert all(r["kept"] == (r["distance"] <= quality_rules.CUT) for r in rows)
 
 
-def test_small_languages_are_judged_by_all_texts(spark):
+def test_small_groups_lean_on_larger_ones(spark):
     rng = np.random.default_rng(7)
     words = ["lamp", "river", "stone", "cloud", "garden", "paper", "window", "table", "horse", "yellow"]
     plain = lambda: " ".join(rng.choice(words, 80))
@@ -74,7 +74,32 @@ def test_small_languages_are_judged_by_all_texts(spark):
     assert not got[200]["base_failed"] and not got[200]["kept"] and not got[201]["kept"]
     assert all(got[100 + i]["kept"] for i in range(5) if not got[100 + i]["base_failed"])
     few = quality_rules.judge(docs.where("lang = 'xx'"), ["doc_id"]).where("not base_failed").collect()
-    assert few and all(r["kept"] and r["distance"] is None for r in few)
+    assert len(few) > 2 and all(r["distance"] is not None for r in few)
+    assert all(r["kept"] for r in few if r["doc_id"] < 200)
+
+
+def test_leaning_estimates_equal_numpy(spark):
+    """Groups of 3 to 40 rows under two languages, against the same weights in numpy."""
+    rng = np.random.default_rng(3)
+    rows = [(f"={lng}\x1f={src}", f"={lng}", *[int(v) for v in rng.normal((400, 50 * (lng == "b"), 20, 30), (12, 90, 60, 80))]) for lng, src, n in (("a", 1, 40), ("a", 2, 3), ("b", 1, 7), ("b", 3, 12)) for _ in range(n)]
+    levels = [(g, p, *x) for pair, lng, *x in rows for g, p in ((pair, lng), (lng, quality_rules.EVERY), (quality_rules.EVERY, None))]
+    df = spark.createDataFrame(levels, "grp string, parent string, " + ", ".join(f"{c} long" for c in quality_rules.STATS))
+    got = {r["grp"]: r for r in quality_rules.mcd_estimates(df).collect()}
+
+    def lean(grp):
+        x = np.array([r[2:] for r in levels if r[0] == grp], float)
+        n, mean, cov = brute_mcd(x, estimate=True)
+        parent = next(r[1] for r in levels if r[0] == grp)
+        if parent is None:
+            return mean, cov
+        w, (up, wide) = n / (n + quality_rules.PRIOR_ROWS), lean(parent)
+        return w * mean + (1 - w) * up, w * cov + (1 - w) * wide
+
+    for grp, r in got.items():
+        mean, cov = lean(grp)
+        low = np.array([[r[f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+        assert np.allclose([r[f"m{i}"] for i in range(4)], mean) and np.allclose(low @ low.T, cov)
+        assert r["scale"] >= 1
 
 
 def test_rules_on_labels_and_odd_tables(spark, odd, nothing):
