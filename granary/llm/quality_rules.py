@@ -258,7 +258,6 @@ def judge(docs: DataFrame, keep: list[str] | None = None, cut: float = CUT, prio
 def _judged(docs: DataFrame, keep: list[str], cut: float = CUT, prior: float = PRIOR_ROWS) -> DataFrame:
     """(row, OUTPUTS): the columns ``keep`` as one struct, so that no name of theirs meets ours."""
     value = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    # Hashes stand for nothing here: names of groups are whole, with the language first.
     source = docs.select(F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in keep]).alias("row"), "text", value("lang").alias("lng"), F.concat_ws("\x1f", value("lang"), value("source")).alias("pair"))
     vectors = materialize(with_vectors(with_counts(source, ["row", "lng", "pair"])), "vectors")
     named = lambda grp, parent: F.struct(F.col(grp).alias("grp") if grp != EVERY else F.lit(EVERY).alias("grp"), parent.alias("parent"))

@@ -60,6 +60,23 @@ def test_warc_round_trip(spark, tmp_path):
     assert n == len(rows)
 
 
+def test_warc_urls_cannot_end_their_line(spark, tmp_path):
+    urls = ["http://x\r\nX-Refers-To-Page: 99", "http://y\n\x00%20\x7f", "no colon\r\n", "", None, "http://é/: :"]
+    rows = [(1, urls[0], "p"), (2, urls[1], "p"), (2, urls[1], "p"), (3, urls[2], "q"), (None, urls[0], "p"), (None, urls[0], "p"), (4, urls[3], None), (5, urls[4], "r"), (6, urls[5], "r")]
+    path = f"file://{tmp_path}/archive"
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = warc.read_archive(spark, path).collect()
+    assert Counter((r["page_id"], r["target"], bytes(r["payload"])) for r in got) == Counter((i, u or "", (h or "").encode()) for i, u, h in rows)
+    kind = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in got}
+    assert kind == {1: ("response", None), 2: ("revisit", 1), 3: ("response", None), None: ("revisit", 1), 4: ("response", None), 5: ("response", None), 6: ("revisit", 5)}
+    heads = [warc.parse_header(bytes(r["header"])) for r in got]
+    ids = {h["WARC-Record-ID"]: r["page_id"] for h, r in zip(heads, got, strict=True)}
+    assert len(ids) == len(rows)
+    assert all(ids[h["WARC-Refers-To"]] == r["refers_to"] for h, r in zip(heads, got, strict=True) if r["refers_to"] is not None)
+    with pytest.raises(ValueError, match="no name"):
+        warc.parse_header(b"WARC/1.1\r\nnothing\r\n\r\n")
+
+
 def test_warc_detects_changed_payloads(spark, tmp_path):
     path = f"file://{tmp_path}/archive"
     warc.write_archive(spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string"), path)
@@ -112,6 +129,23 @@ def test_shards_are_balanced_and_gapless(spark, small, odd, nothing):
     assert sharding.shard_rows(nothing).count() == 0
 
 
+def test_one_repeated_id_is_ranked_in_parts(spark, tmp_path):
+    rows = [(5, f"text {i % 30}") for i in range(700)] + [(5, "same")] * 500 + [(i, "x") for i in range(100)] + [(None, None)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard_rows(docs, shards=7, window_rows=90).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == len(rows) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    counted = lambda rs: Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rs)
+    assert counted(got) == counted(sharding.shard_rows(docs, shards=7).collect())
+    assert Counter(r["size"] for r in got) == Counter(len((t or "").encode()) + 8 for _, t in rows)
+    sharding.write_shards(docs.withColumn("slot", F.lit("mine")), f"file://{tmp_path}/shards", shards=7)
+    back = spark.read.parquet(f"file://{tmp_path}/shards").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in back) == Counter(rows)
+
+
 def check_packing(rows, capacity):
     by = defaultdict(list)
     for r in rows:
@@ -132,6 +166,26 @@ def test_packing_query(spark, small):
     assert {r["doc_id"] for r in rows} == {r[0] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id").collect()}
 
 
+def test_pieces_equal_the_tokenizers_library(spark, small, odd):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocab.path(vocab.WORD_BPE))
+    lib.no_padding()
+    lib.no_truncation()
+    for df in (spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"), odd.select("doc_id", "text")):
+        want = Counter()
+        for doc_id, text in df.collect():
+            ids = np.array([*lib.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+            for k, at in enumerate(range(0, len(ids), 4096)):
+                part = ids[at : at + 4096]
+                want[doc_id, k, at, len(part), zlib.crc32(part.tobytes())] += 1
+        runs = [packing.pack_documents(df, vocab.path(vocab.WORD_BPE)).collect() for _ in range(2)]
+        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in runs[0]) == want
+        assert Counter(map(tuple, runs[0])) == Counter(map(tuple, runs[1]))
+
+
 def test_packing_cases(spark, odd, nothing):
     rows = packing.pack_documents(odd, vocab.path(vocab.WORD_BPE), group_pieces=5).collect()
     check_packing(rows, 4096)
