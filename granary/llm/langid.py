@@ -10,12 +10,13 @@ that language in training; the least loss wins. If the runner-up's loss is close
 the text is flagged ambiguous.
 
 Training takes at most ``SAMPLE`` texts, shared evenly among the languages, the
-ones with the smallest hash of their id. Everything else runs over all rows:
+ones with the smallest hash of id and text. Everything else runs over all rows:
 the fitted arrays are of fixed size for a set of languages and broadcast; whole
 texts are read where they lie, without a shuffle.
 
 Edge cases: texts that are null or without a letter are ``und`` with score 0;
-null languages are not learnt; with one language every text with a letter is it,
+null languages are not learnt; ids may repeat: each row is learnt with its own
+language, equal rows once; with one language every text with a letter is it,
 with none every text is ``und``; equal rows get equal results; an empty table
 gives an empty result.
 """
@@ -116,13 +117,26 @@ def predict(text: str | None, model: dict) -> tuple[str, float, bool]:
 
 
 def training_rows(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
-    """At most ``limit`` (text, lang) rows in all, evenly by language. Only the chosen ids, which ``limit`` bounds, are broadcast."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    found = max(1, usable.select("lang").distinct().count())
-    mixed = F.xxhash64("doc_id", F.lit(5))
-    ranked = usable.select("doc_id", "lang", mixed.alias("h")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-    chosen = ranked.where(F.col("rank") <= max(1, limit // found)).orderBy("rank", "lang").limit(limit).select(F.col("doc_id").alias("id"), F.col("lang").alias("name"))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "text", "name")
+    """At most ``limit`` (id, text, name) rows in all, evenly by language: each language's texts with the smallest hash of id and text.
+
+    A row is known by id, language and text hash, so that ids with several texts
+    or languages give no other rows than the chosen ones. Hashes far beyond a
+    language's share go before the ranking, by its count, which keeps the ranked
+    rows of a language a small multiple of its share. Only the chosen keys, which
+    ``limit`` bounds, are broadcast.
+    """
+    keyed = docs.select("doc_id", "lang", F.xxhash64("text", F.lit(23)).alias("text_hash"), "text")
+    usable = keyed.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = [(r["lang"], r["n"]) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    each = max(1, limit // max(1, len(counts)))
+    spark = docs.sparkSession
+    # A share of all hashes that holds ``each`` rows and more than ten standard deviations besides.
+    cuts = spark.createDataFrame([(lang, min(1.0, (each + 10 * each**0.5 + 100) / n)) for lang, n in counts], "lang string, share double")
+    drawn = usable.select("doc_id", "lang", "text_hash").join(F.broadcast(cuts), "lang").withColumn("h", F.xxhash64("doc_id", "text_hash", F.lit(5)))
+    near = drawn.where(F.col("h") <= F.col("share") * F.lit(2.0**64) - F.lit(2.0**63))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text_hash")))
+    chosen = ranked.where(F.col("rank") <= each).orderBy("rank", "lang").limit(limit).select("doc_id", "lang", "text_hash").distinct()
+    return usable.join(F.broadcast(chosen), ["doc_id", "lang", "text_hash"]).dropDuplicates(["doc_id", "lang", "text_hash"]).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("name"))
 
 
 def learn(docs: DataFrame, limit: int = SAMPLE) -> dict:
