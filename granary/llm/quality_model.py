@@ -15,7 +15,8 @@ scored where they lie, without a shuffle.
 
 Edge cases: a null or empty text is scored by the bias and the mark of an empty
 text; unlabelled, null-labelled and held-out rows are not learnt from; a text
-labelled twice counts with its smaller label; without any labels all scores are
+labelled twice counts with its smaller label; of several texts of one id one is
+learnt from; without any labels all scores are
 0.5; equal rows score alike; an empty table gives an empty result.
 """
 
@@ -108,11 +109,15 @@ class Ftrl:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
-    """At most ``limit`` (id, text, label) rows. Only the chosen ids, which ``limit`` bounds, are broadcast; no text is shuffled but theirs."""
+    """At most ``limit`` (id, text, label) rows, one per id: of several texts of an id that with the smallest hash.
+
+    Only the chosen ids, which ``limit`` bounds, are broadcast; no text is shuffled but theirs, one per id and task.
+    """
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     one = usable.groupBy("doc_id").agg(F.min("quality").alias("label"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col("doc_id").alias("id"), "label")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "text", "label")
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    return known.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("id", "text", "label")
 
 
 def train(sample: DataFrame, epochs: int = EPOCHS) -> np.ndarray:

@@ -186,3 +186,45 @@ def test_features_are_unit_vectors(text):
     for f in (quality_model.features, langid.features):
         index, value = f(text or "")
         assert len(index) == len(set(index.tolist())) and float(value @ value) == pytest.approx(1, abs=1e-3)
+
+
+def test_langid_sample_is_bounded_and_keeps_rows_apart(spark):
+    rows = [(1, "hello there", "en"), (1, None, "en"), (1, "guten tag", "de")] + [(7, f"text {i}", "en") for i in range(400)] + [(9, "same words", "fr")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for limit in (30, 3000):
+        got = [tuple(r) for r in langid.training_rows(docs, limit).collect()]
+        assert 3 <= len(got) <= limit and len(got) == len(set(got))
+        assert set(got) <= {(i, t, n) for i, t, n in rows if t is not None}
+    assert langid.learn(docs)["languages"].tolist() == ["de", "en", "fr"]
+
+
+def test_quality_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(400)] + [(8, "one"), (8, None), (9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (8, 0), (9, 1)], "doc_id long, quality int")
+    got = quality_model.labelled_sample(docs, labels).collect()
+    assert sorted((r["id"], r["label"]) for r in got) == [(7, 1), (8, 0), (9, 1)]
+    assert len(quality_model.labelled_sample(docs, labels, 2).collect()) == 2
+
+
+def test_ftrl_equals_plain_updates():
+    """The sparse vectorised updates against the rule written out for one coordinate at a time."""
+    rng = np.random.default_rng(4)
+    model, size = quality_model.Ftrl(size=9), 9
+    a, b, l1, l2 = quality_model.ALPHA, quality_model.BETA, quality_model.L1, quality_model.L2
+    z, n = [0.0] * size, [0.0] * size
+
+    def weight(i):
+        one, two = (0, 0) if i == size - 1 else (l1, l2)
+        return 0.0 if abs(z[i]) <= one else -(z[i] - np.sign(z[i]) * one) / ((b + n[i] ** 0.5) / a + two)
+
+    for _ in range(200):
+        index = rng.choice(size - 1, 3, replace=False)
+        value, label = rng.random(3), int(rng.random() < 0.4)
+        model.learn(index, value, label)
+        x = dict(zip([*index.tolist(), size - 1], [*value.tolist(), 1.0], strict=True))
+        p = 1 / (1 + np.exp(-sum(weight(i) * v for i, v in x.items())))
+        for i, v in x.items():
+            g, w = (p - label) * v, weight(i)
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / a * w
+            n[i] += g * g
+    assert np.allclose(model.all_weights(), [weight(i) for i in range(size)])
