@@ -24,6 +24,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,13 +39,13 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt
 
 
 def tokenized_pieces(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """A row per piece of each document; ``salt`` is a random number that is fixed once the rows are written."""
+    """A row per piece of each document; ``salt`` is a random number from a generator seeded by the partition, so that a task run again gives the same."""
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("salt", pa.int64())] + [("ids", pa.binary())] * with_ids
     schema = pa.schema(fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = vocab.word_encoder(file), np.array([end_id], "<u4").tobytes()
-        rng = np.random.default_rng()
+        rng = np.random.default_rng([capacity, TaskContext.get().partitionId()])
         step = 4 * capacity
         for batch in batches:
             rows = []
