@@ -87,11 +87,16 @@ def dedup_lines(docs: DataFrame, lines: int = WINDOW_LINES) -> DataFrame:
     )
 
 
-def clean_documents(docs: DataFrame, lines: int = WINDOW_LINES) -> DataFrame:
-    """The documents with all their columns and cleaned texts; ``n_chars`` follows the text where there is one."""
+def clean_documents(docs: DataFrame, lines: int = WINDOW_LINES, drop_emptied: bool = False) -> DataFrame:
+    """The documents with all their columns and cleaned texts; ``n_chars`` follows the text where there is one.
+
+    ``drop_emptied``: without documents that had lines cut and have no word left.
+    """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in rest]).alias("rest"))
     out = dedup_lines(packed, lines)
+    if drop_emptied:
+        out = out.where((F.size("removed") == 0) | _has_word(F.col("text")))
 
     def column(c: str) -> Column:
         if c in ("doc_id", "text"):

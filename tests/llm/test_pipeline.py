@@ -13,7 +13,10 @@ def test_stages_on_the_tables(spark):
         at[name], kept[name] = docs, {r[0] for r in docs.select("doc_id").collect()}
         if name != "packing":
             assert docs.columns == columns
-    assert kept["line_dedup"] == kept["quality_classifier"] <= kept["quality_rules"]
+    assert kept["line_dedup"] <= kept["quality_classifier"] <= kept["quality_rules"]
+    texts = {r["doc_id"]: r["text"] for r in at["quality_classifier"].collect()}
+    assert all(texts[i] in {texts[k] for k in kept["line_dedup"]} for i in kept["quality_classifier"] - kept["line_dedup"])
+    assert at["line_dedup"].where("trim(text) = ''").count() == 0
     assert kept["packing"] == kept["near_dedup"] < kept["line_dedup"]
     good = {r[0] for r in spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").select("doc_id").collect()}
     assert len(good & kept["quality_classifier"]) == len(good & kept["quality_rules"])
