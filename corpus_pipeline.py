@@ -3,12 +3,14 @@
 Each stage takes all that the one before kept and returns the columns of
 ``documents``; the last returns the pieces of packed sequences. ``run`` writes
 every stage's result to the shared folder and reads it back, so a lost executor
-repeats work of one stage only.
+repeats work of one stage only; a stage's own scratch tables go when its result
+is written.
 
 Edge cases are those of the operators: null and empty texts fail the quality
 rules; rows with equal ids are judged each on their own by the first three
 stages and are one document in the near-duplicate stage; an empty table passes
-through all stages. Columns beside those of ``documents`` are carried through
+through all stages; a document that line dedup leaves without a word, as all its
+lines stand in earlier ones, goes there. Columns beside those of ``documents`` are carried through
 the first four stages, whatever their names.
 """
 
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import linededup, neardup, packing, quality_model, quality_rules, vocab
-from granary.llm.common import materialize, table
+from granary.llm.common import released, save, scratch_path, table
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,8 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of repeated three-line windows; ``n_chars`` follows the text."""
-    return linededup.clean_documents(docs)
+    """The documents without the lines of repeated three-line windows; ``n_chars`` follows the text. Documents of which no word is left say nothing new and go."""
+    return linededup.clean_documents(docs, drop_emptied=True)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}")
+        with released(spark):
+            docs = save(stage(spark, docs, sf_dir), path)
     return docs
