@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the session's spark.checkpoint.dir, or under a folder of our own where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{root}/granary/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the session's spark.checkpoint.dir. Unset, it is a folder of our own in local mode (tests), an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{root or 'file:///tmp/checkpoints'}/granary/{label}-{uuid.uuid4().hex}"
