@@ -436,13 +436,12 @@ def unique_documents(docs: DataFrame, size: int = SHINGLE, threshold: Fraction =
     """
     rows = _keyed(docs)
     grouped = near_duplicates(rows.select(F.col("key").alias("doc_id"), "text"), size, threshold).groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("component"))
-    keys = rows.groupBy("key").agg(F.max("no_id").alias("no_id"), F.count("*").alias("n"))
-    placed = materialize(keys.join(grouped, "key"), "placed")
-    chosen = placed.groupBy("component").agg(F.min(F.struct("no_id", "key", "n")).alias("c")).select("c.key", "c.n")
-    one = rows.join(chosen.where("n = 1").select("key"), "key", "left_semi").select("row")
-    several = rows.join(chosen.where("n > 1").select("key"), "key", "left_semi")
-    first = several.groupBy("key").agg(F.min_by("row", F.struct(F.xxhash64("text"), F.xxhash64(F.to_json("row")))).alias("row")).select("row")
-    return one.unionByName(first).select("row.*")
+    placed = rows.groupBy("key").agg(F.max("no_id").alias("no_id")).join(grouped, "key")
+    chosen = placed.groupBy("component").agg(F.min(F.struct("no_id", "key")).alias("c")).select("c.key")
+    # Repeated rows meet before the rows move, which they do once.
+    plain = [F.col(f"row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = rows.withColumn("order", F.struct(F.xxhash64("text"), F.xxhash64(*plain))).select("key", "row", "order").groupBy("key").agg(F.min_by("row", "order").alias("row"))
+    return one.join(chosen, "key", "left_semi").select("row.*")
 
 
 def op4_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
