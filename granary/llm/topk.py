@@ -14,9 +14,10 @@ cells. The queries are a stated set, so queries times super blocks is the work
 asked for; only blocks of rows move, never pairs.
 
 Edge cases: vectors that are null or hold a null, NaN or infinite component, and
-rows without id, take no part; shorter vectors are padded with zeros to the
+rows without id, take no part; components saturate at ``MOST`` after scaling, so
+that scores of up to 8,192 components fit a long; shorter vectors are padded with zeros to the
 longest; a query finds no row with its own id; repeated ids are separate rows,
-ranked next to each other; fewer candidates than k give fewer rows; ties go to
+ranked next to each other, and separate queries with k rows each; fewer candidates than k give fewer rows; ties go to
 the smaller id; empty vectors score 0; an empty table gives an empty result.
 """
 
@@ -34,17 +35,18 @@ from granary.llm.common import materialize, table
 K = 20
 SCALE = 64
 QUERY_EVERY = 20
+MOST = 1 << 25
 BLOCK_ROWS = 512
 #: Rows in a super block and queries in a group: what one task holds.
 SUPER_ROWS, GROUP_QUERIES = 32_768, 4096
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): whole numbers floor(scale * x), for sound vectors."""
+    """(vec_id, v): whole numbers floor(scale * x), within MOST, for sound vectors."""
     x = F.col("embedding")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
     sound = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad)
-    return sound.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"))
+    return sound.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.greatest(F.lit(-float(MOST)), F.least(F.lit(float(MOST)), c.cast("double") * scale))).cast("long")).alias("v"))
 
 
 class Block:
@@ -82,15 +84,15 @@ def best_of(query: np.ndarray, query_id: int, blocks: list[Block], bounds: np.nd
     return list(zip(scores.tolist(), ids.tolist(), strict=True))
 
 
-def search_cell(queries: list[tuple[int, np.ndarray]], blocks: list[Block], k: int) -> Iterator[tuple[int, int, int]]:
-    """(query id, id, score) for each query of a group within one super block."""
+def search_cell(queries: list[tuple[int, int, np.ndarray]], blocks: list[Block], k: int) -> Iterator[tuple[int, int, int, int]]:
+    """(query's row number, query id, id, score) for each query of a group within one super block."""
     if not queries or not blocks:
         return
-    q = np.stack([v for _, v in queries])
+    q = np.stack([v for _, _, v in queries])
     bounds = np.stack([b.bounds(q) for b in blocks], 1)
-    for (query_id, v), bound in zip(queries, bounds, strict=True):
+    for (number, query_id, v), bound in zip(queries, bounds, strict=True):
         for score, vec_id in best_of(v, query_id, blocks, bound, k):
-            yield query_id, vec_id, int(score)
+            yield number, query_id, vec_id, int(score)
 
 
 def _blobs(rows: pd.DataFrame, width: int) -> np.ndarray:
@@ -102,7 +104,7 @@ def _blobs(rows: pd.DataFrame, width: int) -> np.ndarray:
 
 def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = QUERY_EVERY, block_rows: int = BLOCK_ROWS, super_rows: int = SUPER_ROWS, group_queries: int = GROUP_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of each query, a query being a row whose id is divisible by ``every``."""
-    rows = materialize(quantised(vectors, scale), "vectors")
+    rows = materialize(quantised(vectors, scale).withColumn("number", F.monotonically_increasing_id()), "vectors")
     seen = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q"), F.max(F.size("v")).alias("width")).first()
     width = max(1, seen["width"] or 1)
     supers, groups = max(1, -(-seen["n"] // super_rows)), max(1, -(-seen["q"] // group_queries))
@@ -119,11 +121,11 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = QUERY
         else:
             data, asked = data.astype(object), asked.astype(object)
         blocks = [Block(ids[a : a + block_rows], data[a : a + block_rows]) for a in range(0, len(ids), block_rows)]
-        found = list(search_cell(list(zip(right["vec_id"].tolist(), asked, strict=True)), blocks, k))
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
+        found = list(search_cell(list(zip(right["number"].tolist(), right["vec_id"].tolist(), asked, strict=True)), blocks, k))
+        return pd.DataFrame(found, columns=["number", "query_id", "vec_id", "score"], dtype="int64")
 
-    parts = candidates.groupBy("super", "grp").cogroup(queries.groupBy("super", "grp")).applyInPandas(cell, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    parts = candidates.groupBy("super", "grp").cogroup(queries.groupBy("super", "grp")).applyInPandas(cell, "number long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), "vec_id"))
     return parts.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -132,9 +134,9 @@ def op7_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = f"""
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {SCALE}) AS DOUBLE)) AS v FROM embeddings
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS number, vec_id, list_transform(embedding, lambda x: floor(greatest(-{MOST}, least({MOST}, CAST(x AS DOUBLE) * {SCALE})))) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id % {QUERY_EVERY} = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+s AS (SELECT q.number, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id % {QUERY_EVERY} = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= {K}
 """

@@ -241,6 +241,9 @@ def test_top_k_small_blocks(spark):
     sound = [(i, np.floor(np.array(v, np.float32).astype(float) * 64).astype(int)) for i, v in rows if i is not None and i not in (91, 92, 93, 94)]
     sound = [(i, np.pad(v, (0, 6 - len(v)))) for i, v in sound]
     ids = sorted({i for i, _ in sound if i % 20 == 0} - {20})
+    both = [v for i, v in sound if i == 20]
+    twice = [sorted((-int(v @ x), i) for i, x in sound if i != 20)[:7] for v in both]
+    assert sorted((r, -s, i) for a, r, i, s in got if a == 20) == sorted((r + 1, s, i) for t in twice for r, (s, i) in enumerate(t))
     for q in ids:
         v = next(x for i, x in sound if i == q)
         want = sorted(((-int(v @ x), i) for i, x in sound if i != q))[:7]
@@ -248,6 +251,12 @@ def test_top_k_small_blocks(spark):
     assert topk.top_k(df.where("vec_id > 1000")).count() == 0
 
 
+def test_huge_components_saturate(spark):
+    df = spark.createDataFrame([(0, [3e38] * 64), (1, [-3e38] * 64), (2, [1.0] * 64), (3, [3e38] * 64)], "vec_id long, embedding array<float>")
+    top = 64 * topk.MOST**2
+    assert [(r["vec_id"], r["score"]) for r in topk.top_k(df).orderBy("rank").collect()] == [(3, top), (2, 64 * 64 * topk.MOST), (1, -top)]
+
+
 def test_bounds_hold_and_prune():
     rng = np.random.default_rng(0)
     rows = np.concatenate([rng.integers(-3, 3, (64, 5)) + 20 * k for k in range(6)]).astype(float)
