@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions.hashing import hash_number, hash_rank_key
 from granary.operators.catalog import Catalog, Tables
 
 CATALOG = Catalog()
@@ -164,13 +165,13 @@ def simulated_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate(spark, ITEMS, make_trajectory, "uid long, step int, agent string, value int, at_fault boolean")
 
 
-@CATALOG.query()
+@CATALOG.query("SELECT vec_id, round(a, 6) AS surface, round(b, 6) AS structural, CAST('0x' || substr(md5('bias|' || CAST(vec_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < least(1.0, b / a) AS kept FROM (SELECT vec_id, 1 / (1 + exp(-4 * CAST(embedding[1] AS DOUBLE))) AS a, 1 / (1 + exp(-4 * CAST(embedding[2] AS DOUBLE))) AS b FROM embeddings WHERE embedding IS NOT NULL)")
 def bias_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejection of easy rows: kept iff a hash-uniform number is under min(1, structural / surface probability)."""
     e = Tables(spark, sf_dir).embeddings.where("embedding is not null")
     surface = 1 / (1 + F.exp(-4 * F.get("embedding", F.lit(0)).cast("double")))
     structural = 1 / (1 + F.exp(-4 * F.get("embedding", F.lit(1)).cast("double")))
-    u = F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(1_000_000)) / 1_000_000
+    u = hash_number(hash_rank_key("bias", F.col("vec_id"))) / F.lit(float(1 << 32))
     return e.select("vec_id", F.round(surface, 6).alias("surface"), F.round(structural, 6).alias("structural"), (u < F.least(F.lit(1.0), structural / surface)).alias("kept"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from granary.functions.hashing import hash_number
 from granary.operators.catalog import Catalog, Tables
 from granary.operators.filters import first_reason
 from granary.operators.scoring import PREDS, predictions, r6, scored
+from granary.operators.stats import drawn, sql_draws
 
 CATALOG = Catalog()
 
@@ -202,20 +201,18 @@ def program_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(back.alias("p")).where(F.size("p.steps") == 1).select("p.head.r_regionkey", "p.head.r_name")
 
 
-@CATALOG.query()
+@CATALOG.query(
+    PREDS
+    + f""", ids AS (SELECT item_id, grp, correct AS c FROM sc WHERE seed = 0), p AS (SELECT draw, grp, sum(w * c) AS s, sum(w) AS n FROM {sql_draws("strata", "item_id")} d JOIN ids USING (item_id) GROUP BY ALL HAVING sum(w) > 0),
+m AS (SELECT sum(s) / sum(n) AS item_weighted, avg(s / n) AS equal_weight FROM p GROUP BY draw)
+SELECT """
+    + ", ".join(f"round(quantile_cont({c}, {p}), 6) AS {c}_{n}" for c in ("item_weighted", "equal_weight") for n, p in (("low", 0.025), ("high", 0.975)))
+    + " FROM m"
+)
 def stratified_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item-weighted and equal-weight means over strata, resampled within each stratum: strata sums per draw are combined."""
-    s = scored(spark, sf_dir).where("seed = 0").select("grp", "item_id", F.col("correct").cast("double").alias("c"))
-    draws = 300
-
-    def weigh(batches):
-        for b in batches:
-            w = np.stack([np.random.default_rng([11, int(i)]).poisson(1, draws) for i in b["item_id"]]) if len(b) else np.zeros((0, draws))
-            for g in b["grp"].unique():
-                m = (b["grp"] == g).to_numpy()
-                yield pd.DataFrame({"grp": g, "draw": np.arange(draws), "s": (w[m] * b["c"].to_numpy()[m, None]).sum(0), "n": w[m].sum(0).astype(float)})
-
-    per = s.mapInPandas(weigh, "grp int, draw int, s double, n double").groupBy("draw", "grp").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
+    s = scored(spark, sf_dir).where("seed = 0").select("grp", "item_id", "correct")
+    per = drawn(s, "correct", "item_id", "strata", "grp")
     d = per.groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("item_weighted"), F.avg(F.col("s") / F.col("n")).alias("equal_weight"))
     q = lambda c, p: r6(F.percentile(c, p))
     return d.agg(*[q(c, p).alias(f"{c}_{n}") for c in ("item_weighted", "equal_weight") for n, p in (("low", 0.025), ("high", 0.975))])

@@ -141,10 +141,10 @@ def option_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("p_partkey", F.array_join(F.transform("s", lambda z: z["x"]), " ").alias("shuffled"), F.array_position(F.transform("s", lambda z: z["pos"]), 1).cast("long").alias("gold_at"))
 
 
-@CATALOG.query("SELECT a.item_id AS a, b.item_id AS b, levenshtein(regexp_replace(substr(a.text, 1, 40), '[^ -~]', '', 'g'), regexp_replace(substr(b.text, 1, 40), '[^ -~]', '', 'g')) AS d FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id AND substr(a.text, 1, 3) = substr(b.text, 1, 3)")
+@CATALOG.query("SELECT a.item_id AS a, b.item_id AS b, levenshtein(regexp_replace(a.text, '[^ -~]', '', 'g'), regexp_replace(b.text, '[^ -~]', '', 'g')) AS d FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id AND substr(a.text, 1, 3) = substr(b.text, 1, 3)")
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distance of the openings, in ASCII, of items that begin alike."""
-    b = Tables(spark, sf_dir).benchmark.select("item_id", F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", "").alias("t"), F.substring("text", 1, 3).alias("k"))
+    """Edit distance of whole texts, in ASCII, of items whose first three characters (the blocking key) are equal."""
+    b = Tables(spark, sf_dir).benchmark.select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("t"), F.substring("text", 1, 3).alias("k"))
     pairs = b.select(F.col("item_id").alias("a"), F.col("t").alias("ta"), "k").join(b.select(F.col("item_id").alias("b"), F.col("t").alias("tb"), "k"), "k").where("a < b")
     return pairs.select("a", "b", F.levenshtein("ta", "tb").cast("long").alias("d"))
 

@@ -7,14 +7,12 @@ sizes, which is small, and join back.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions.hashing import hash_number, hash_rank_key
+from granary.functions.ranges import in_hash_order, ranges_for
 from granary.operators.catalog import Catalog, Tables
 
 CATALOG = Catalog()
@@ -36,6 +34,11 @@ def ranked(df: DataFrame, by: list[str], key: Column, tie: str, name: str = "k")
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(key, tie)))
 
 
+def ranked_whole(df: DataFrame, by: list[str], key: Column, tie: str) -> DataFrame:
+    """Adds the rank ``k`` of every row and the group's size ``n``. Where only the first few ranks are used, ``ranked`` is better, as its limit goes before the shuffle."""
+    return in_hash_order(df, by, key, tie, ranges_for(df.count()), rank="k", size="n")
+
+
 @CATALOG.query(f"SELECT doc_id, source, {_K} AS h FROM documents ORDER BY h, doc_id LIMIT 50 OFFSET 10")
 def hash_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pseudo-random slice: md5 order, an offset, a count."""
@@ -78,20 +81,20 @@ def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in hash order up to their stratum's largest-remainder quota."""
     d = Tables(spark, sf_dir).documents.select("doc_id", "source")
     q = largest_remainder(d.groupBy("source").agg(F.count("*").alias("n")), "source", 77).select("source", "quota")
-    return ranked(d, ["source"], rank_key("7", "source", "doc_id"), "doc_id").join(q, "source").where("k <= quota").select("doc_id", "source")
+    return ranked_whole(d, ["source"], rank_key("7", "source", "doc_id"), "doc_id").join(q, "source").where("k <= quota").select("doc_id", "source")
 
 
 @CATALOG.query(f"SELECT doc_id, source, r <= ceil(n * 0.1) AS small, r <= ceil(n * 0.3) AS medium FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_K}, doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE r <= ceil(n * 0.3)")
 def nested_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A smaller stratified subset inside a larger one: one order, growing quotas."""
-    d = ranked(Tables(spark, sf_dir).documents.select("doc_id", "source"), ["source"], rank_key("7", "source", "doc_id"), "doc_id").withColumn("n", F.count("*").over(Window.partitionBy("source")))
+    d = ranked_whole(Tables(spark, sf_dir).documents.select("doc_id", "source"), ["source"], rank_key("7", "source", "doc_id"), "doc_id")
     return d.where(F.col("k") <= F.ceil(F.col("n") * 0.3)).select("doc_id", "source", (F.col("k") <= F.ceil(F.col("n") * 0.1)).alias("small"), F.lit(True).alias("medium"))
 
 
 @CATALOG.query(f"SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_K}, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE r <= greatest(1, round_even(n * 0.05, 0))")
 def stratified_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five percent of each language, one at least; halves round to even."""
-    d = ranked(Tables(spark, sf_dir).documents.select("doc_id", "lang", "source"), ["lang"], rank_key("7", "source", "doc_id"), "doc_id").withColumn("n", F.count("*").over(Window.partitionBy("lang")))
+    d = ranked_whole(Tables(spark, sf_dir).documents.select("doc_id", "lang", "source"), ["lang"], rank_key("7", "source", "doc_id"), "doc_id")
     return d.where(F.col("k") <= F.greatest(F.lit(1), F.bround(F.col("n") * 0.05))).select("doc_id", "lang")
 
 
@@ -130,7 +133,7 @@ def group_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.query("WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), k AS (SELECT lang, least(greatest(5, ceil(0.02 * n)), 200, n - 1) AS k FROM n) SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws('|', 'val', lang, CAST(doc_id AS VARCHAR))), doc_id) <= k AS val FROM documents JOIN k USING (lang)")
 def family_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per family max(least, ceil(share n)), capped, and at most n - 1, in hash order."""
-    d = ranked(Tables(spark, sf_dir).documents.select("doc_id", "lang"), ["lang"], rank_key("val", "lang", "doc_id"), "doc_id").withColumn("n", F.count("*").over(Window.partitionBy("lang")))
+    d = ranked_whole(Tables(spark, sf_dir).documents.select("doc_id", "lang"), ["lang"], rank_key("val", "lang", "doc_id"), "doc_id")
     k = F.least(F.greatest(F.lit(5), F.ceil(0.02 * F.col("n"))), F.lit(200), F.col("n") - 1)
     return d.where("lang is not null").select("doc_id", "lang", (F.col("k") <= k).alias("val"))
 
@@ -140,16 +143,30 @@ def lofo_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leave one group out: each fold trains on the other groups, each capped. The join is on the few group names."""
     d = Tables(spark, sf_dir).documents.select("doc_id", "lang", "source").where("lang is not null")
     capped = d.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("source", "doc_id"))).where("k <= 100")
-    names = d.select("lang").distinct().agg(F.collect_set("lang").alias("all"))
-    folds = d.select("lang").distinct().join(names).select("lang", F.explode("all").alias("fold")).where("fold <> lang")
+    names = d.select("lang").distinct().withColumn("all", F.collect_set("lang").over(Window.partitionBy()))
+    folds = names.select("lang", F.explode("all").alias("fold")).where("fold <> lang")
     return capped.join(folds, "lang").groupBy("fold").agg(F.count("*").alias("n_train"), F.count_distinct("source").alias("n_sources"))
 
 
-@CATALOG.query("SELECT doc_id, source, row_number() OVER (ORDER BY k, source) AS place FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 5")
+@CATALOG.query(f"SELECT doc_id, source, row_number() OVER (ORDER BY k, source) AS place FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_K}, doc_id) AS k FROM documents)")
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five of each source, interleaved a0 b0 c0 a1 ..."""
-    d = Tables(spark, sf_dir).documents.select("doc_id", "source").withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("k <= 5")
-    return d.select("doc_id", "source", F.row_number().over(Window.orderBy("k", "source")).cast("long").alias("place"))
+    """All rows of all sources, interleaved a0 b0 c0 a1 ..., each source in hash order.
+
+    A row's place follows from counts alone: before it come, of every source,
+    its first k - 1 rows or all it has, and the k-th of sources with smaller
+    names. Both sums are made per k from the table of source sizes.
+    """
+    d = ranked_whole(Tables(spark, sf_dir).documents.select("doc_id", "source"), ["source"], rank_key("7", "source", "doc_id"), "doc_id").drop("n")
+    # One row per round: how many sources take part in it.
+    rounds = d.groupBy("k").agg(F.count("*").alias("m"))
+    ends = rounds.groupBy("m").agg(F.count("*").alias("len"), F.min("k").alias("first"))
+    # Rounds with equally many sources follow each other, so there are at most as many runs as sources.
+    runs = ends.select("m", "first", (F.sum(F.col("m") * F.col("len")).over(Window.orderBy("first")) - F.col("m") * F.col("len")).alias("before"))
+    size = d.groupBy("source").agg(F.count("*").alias("n"))
+    names = size.select("source", F.collect_list("n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)).alias("sizes"))
+    at = d.join(rounds, "k").join(runs, "m").join(names, "source")
+    ahead = F.size(F.filter("sizes", lambda n: n >= F.col("k")))
+    return at.select("doc_id", "source", (F.col("before") + (F.col("k") - F.col("first")) * F.col("m") + ahead + 1).cast("long").alias("place"))
 
 
 @CATALOG.query("SELECT doc_id, unnest(range(CASE lang WHEN 'de' THEN 2 WHEN 'en' THEN CAST(CAST(('0x' || substr(md5('third|' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 3 = 0 AS INT) ELSE 1 END)) AS copy FROM documents")
@@ -165,7 +182,7 @@ def outcome_balanced_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most balance * n / outcomes rows per outcome."""
     e = Tables(spark, sf_dir).embeddings.select("vec_id", "label")
     size = e.groupBy("label").agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"), F.count("*").alias("outcomes"))
-    return ranked(e, ["label"], rank_key("b", "vec_id"), "vec_id").join(size).where(F.col("k") <= 0.9 * F.col("n") / F.col("outcomes")).select("vec_id", "label")
+    return ranked_whole(e, ["label"], rank_key("b", "vec_id"), "vec_id").drop("n").join(size).where(F.col("k") <= 0.9 * F.col("n") / F.col("outcomes")).select("vec_id", "label")
 
 
 @CATALOG.query("WITH t AS (SELECT conv_id, turn, floor(10 * (turn - min(turn) OVER w) / greatest(1, max(turn) OVER w - min(turn) OVER w + 1)) AS bin FROM conversations WINDOW w AS (PARTITION BY conv_id)), r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5(concat_ws('|', 'p', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR))), conv_id, turn) AS k FROM t) SELECT conv_id, turn, CAST(bin AS BIGINT) AS bin FROM r WHERE k <= 10")
@@ -178,66 +195,78 @@ def position_balanced_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("k", k).where("k <= 10").select("conv_id", "turn", "bin")
 
 
-@CATALOG.query("SELECT c_nationkey, c_custkey FROM (SELECT c_nationkey, c_custkey, md5('m|' || CAST(c_custkey AS VARCHAR)) AS h, md5('m|' || CAST(c_custkey AS VARCHAR)) AS s FROM customer) ORDER BY s, c_custkey LIMIT 30")
+@CATALOG.query("SELECT c_nationkey, c_custkey, row_number() OVER (ORDER BY " + sql_key("m", "c_custkey") + ", c_custkey) AS place FROM customer")
 def hash_ordered_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in hash order: equal sets give equal files."""
-    return Tables(spark, sf_dir).customer.select("c_nationkey", "c_custkey").orderBy(rank_key("m", "c_custkey"), "c_custkey").limit(30)
-
-
-def waterfill(total: float, weights: Mapping[str, float], limits: Mapping[str, float]) -> dict[str, float]:
-    """Proportional split with limits: keys over their limit are frozen at it together, the rest is split again."""
-    out, open_, left = {}, dict(weights), float(total)
-    while open_:
-        unit = left / sum(open_.values()) if sum(open_.values()) else 0.0
-        full = [k for k, w in open_.items() if w * unit > limits.get(k, float("inf"))]
-        if not full:
-            return out | {k: w * unit for k, w in open_.items()}
-        for k in full:
-            out[k] = limits[k]
-            left -= limits[k]
-            del open_[k]
-    return out
-
-
-def equal_allocation(sizes: Mapping[str, int], n: int) -> dict[str, int]:
-    """n spread evenly over strata, small ones filled whole; what is left over goes to the first names."""
-    out, open_, left = {}, dict(sizes), min(n, sum(sizes.values()))
-    while open_ and any(size <= left // len(open_) for size in open_.values()):
-        each = left // len(open_)
-        for k in [k for k, size in open_.items() if size <= each]:
-            out[k] = open_.pop(k)
-            left -= out[k]
-    for i, k in enumerate(sorted(open_)):
-        out[k] = left // len(open_) + (i < left % len(open_))
-    return out
-
-
-@CATALOG.query()
+    """All rows with their place in hash order: equal sets give equal files."""
+    d = Tables(spark, sf_dir).customer.select("c_nationkey", "c_custkey")
+    return in_hash_order(d, [], rank_key("m", "c_custkey"), "c_custkey", ranges_for(d.count()), rank="place").select("c_nationkey", "c_custkey", F.col("place").cast("long").alias("place"))
+
+
+def filled(rows: DataFrame, key: str, weight: Column, limit: Column, total: Column) -> DataFrame:
+    """(key, share): ``total`` split in proportion to the weights, no share over its limit.
+
+    Keys are sorted by limit over weight. Were all earlier ones at their limits,
+    what is left gives the rest a common level; a key whose own ratio lies under
+    that level is at its limit too, and the first that is not sets the level of
+    all others. Works on a table with a row per key.
+    """
+    w = Window.partitionBy().orderBy("_ratio", key)
+    ahead = w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.select(key, weight.alias("_w"), limit.alias("_l"), total.alias("_t")).withColumn("_ratio", F.try_divide("_l", "_w"))
+    left = F.col("_t") - F.coalesce(F.sum("_l").over(ahead), F.lit(0.0))
+    heavy = F.sum("_w").over(Window.partitionBy()) - F.coalesce(F.sum("_w").over(ahead), F.lit(0.0))
+    level = sums.withColumn("_level", F.try_divide(left, heavy))
+    opened = level.withColumn("_open", F.col("_ratio") >= F.col("_level"))
+    common = F.min(F.when(F.col("_open"), F.struct("_ratio", key, "_level"))).over(Window.partitionBy())["_level"]
+    return opened.select(key, F.when(F.col("_open"), F.col("_w") * common).otherwise(F.col("_l")).alias("share"))
+
+
+_FILL = "s AS (SELECT source, CAST(sum(n_chars) AS DOUBLE) AS w FROM documents GROUP BY source), t AS (SELECT *, 0.45 * median(w) OVER () AS l, 0.5 * sum(w) OVER () AS total FROM s)"
+
+
+@CATALOG.query(f"""
+WITH {_FILL}, c AS (SELECT DISTINCT l / w AS u FROM t), f AS (SELECT u, (SELECT sum(least(l, u * w)) FROM t) AS got FROM c),
+a AS (SELECT max(u) AS u0, max(got) AS g0 FROM f WHERE got <= (SELECT max(total) FROM t)),
+b AS (SELECT coalesce(u0, 0) AS u0, (SELECT max(total) FROM t) - coalesce(g0, 0) AS rest, (SELECT sum(w) FROM t WHERE l / w > coalesce(u0, 0)) AS open FROM a)
+SELECT source, round(least(l, w * (u0 + coalesce(rest / open, 0))), 4) AS share FROM t, b
+""")
 def waterfill_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of a target by source under per-source limits; the loop runs over the table of sources."""
-    s = Tables(spark, sf_dir).documents.groupBy("source").agg(F.sum("n_chars").alias("n")).withColumn("all", F.lit(1))
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        w = dict(zip(rows["source"], rows["n"].astype(float), strict=True))
-        got = waterfill(0.5 * sum(w.values()), w, {k: v for k, v in zip(w, np.full(len(w), np.median(list(w.values())) * 0.45), strict=True)})
-        return pd.DataFrame({"source": list(got), "share": [round(v, 6) for v in got.values()]})
-
-    return s.groupBy("all").applyInPandas(fill, "source string, share double")
-
-
-@CATALOG.query()
+    """Shares of half of all characters by source under a limit per source; the SQL finds the level by trying every source's ratio."""
+    s = Tables(spark, sf_dir).documents.groupBy("source").agg(F.sum("n_chars").cast("double").alias("w"))
+    whole = Window.partitionBy()
+    t = s.select("source", "w", (0.45 * F.percentile("w", 0.5).over(whole)).alias("l"), (0.5 * F.sum("w").over(whole)).alias("t"))
+    return filled(t, "source", F.col("w"), F.col("l"), F.col("t")).select("source", F.round("share", 4).alias("share"))
+
+
+def equal_quotas(sizes: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, quota): ``n`` rows over strata of ``sizes(keys, n)``, as equal as sizes allow; what is left over goes one each to the first open names."""
+    every = Window.partitionBy()
+    w = every.orderBy("n", *keys)
+    ahead = w.rowsBetween(Window.unboundedPreceding, -1)
+    want = F.least(F.lit(n).cast("long"), F.sum("n").over(every))
+    before = F.coalesce(F.sum("n").over(ahead), F.lit(0))
+    level = F.floor((want - before) / (F.count("*").over(every) - F.row_number().over(w) + 1))
+    s = sizes.withColumns({"_want": want, "_level": level}).withColumn("_open", F.col("n") > F.col("_level"))
+    least = F.min(F.when(F.col("_open"), F.struct("n", *keys, "_level"))).over(every)["_level"]
+    closed = F.sum(F.when(~F.col("_open"), F.col("n")).otherwise(0)).over(every)
+    rest = F.col("_want") - closed - least * F.sum(F.col("_open").cast("long")).over(every)
+    place = F.row_number().over(Window.partitionBy("_open").orderBy(*keys))
+    return s.select(*keys, F.when(F.col("_open"), least + (place <= rest).cast("long")).otherwise(F.col("n")).alias("quota"))
+
+
+@CATALOG.query("""
+WITH s AS (SELECT lang, source, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL), w AS (SELECT least(200, sum(n)) AS want FROM s),
+l AS (SELECT max(r) AS level FROM range(201) t(r), w WHERE (SELECT sum(least(n, r)) FROM s) <= want),
+x AS (SELECT lang, source, n, level, want - (SELECT sum(least(n, level)) FROM s) AS rest, CASE WHEN n > level THEN row_number() OVER (PARTITION BY n > level ORDER BY lang, source) END AS k FROM s, l, w),
+q AS (SELECT lang, source, least(n, level) + CASE WHEN k <= rest THEN 1 ELSE 0 END AS quota FROM x),
+r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY """ + sql_key("e", "doc_id") + """, doc_id) AS k FROM documents)
+SELECT doc_id, lang, source FROM r JOIN q USING (lang, source) WHERE k <= quota
+""")
 def stratified_equal_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """200 rows over languages and sources as evenly as sizes allow, in hash order."""
-    d = Tables(spark, sf_dir).documents.select("doc_id", "lang", "source")
-    s = d.groupBy("lang", "source").agg(F.count("*").alias("n")).withColumn("all", F.lit(1))
-
-    def allot(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [f"{a}\x1f{b}" for a, b in zip(rows["lang"], rows["source"], strict=True)]
-        got = equal_allocation(dict(zip(keys, rows["n"].astype(int), strict=True)), 200)
-        return rows[["lang", "source"]].assign(quota=[got[k] for k in keys])
-
-    q = s.groupBy("all").applyInPandas(allot, "lang string, source string, quota long")
-    return ranked(d, ["lang", "source"], rank_key("e", "doc_id"), "doc_id").join(q, ["lang", "source"]).where("k <= quota").select("doc_id", "lang", "source")
+    d = Tables(spark, sf_dir).documents.select("doc_id", "lang", "source").where("lang is not null and source is not null")
+    q = equal_quotas(d.groupBy("lang", "source").agg(F.count("*").alias("n")), ["lang", "source"], 200)
+    return ranked(d, ["lang", "source"], rank_key("e", "doc_id"), "doc_id").where("k <= 200").join(q, ["lang", "source"]).where("k <= quota").select("doc_id", "lang", "source")
 
 
 def token_budget_batches(rows: DataFrame, group: list[str], length: str, key: str, budget: int, most: int) -> DataFrame:
@@ -269,7 +298,7 @@ def token_budget_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.query("WITH b AS (SELECT (row_number() OVER (PARTITION BY source ORDER BY " + _K + ", doc_id) - 1) // 8 AS mb, source, n_chars FROM documents), m AS (SELECT source, mb, max(n_chars) * count(*) AS padded, sum(n_chars) AS real FROM b GROUP BY ALL) SELECT source, CAST(sum(padded) AS BIGINT) AS padded, CAST(sum(real) AS BIGINT) AS real, round(sum(padded) / sum(real), 6) AS cost FROM m GROUP BY source")
 def padding_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Padded against real length of micro-batches of eight in random order."""
-    d = ranked(Tables(spark, sf_dir).documents.select("doc_id", "source", "n_chars"), ["source"], rank_key("7", "source", "doc_id"), "doc_id")
+    d = ranked_whole(Tables(spark, sf_dir).documents.select("doc_id", "source", "n_chars"), ["source"], rank_key("7", "source", "doc_id"), "doc_id")
     m = d.groupBy("source", F.floor((F.col("k") - 1) / 8).alias("mb")).agg((F.max("n_chars") * F.count("*")).alias("padded"), F.sum("n_chars").alias("real"))
     return m.groupBy("source").agg(F.sum("padded").alias("padded"), F.sum("real").alias("real"), F.round(F.sum("padded") / F.sum("real"), 6).alias("cost"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.operators.catalog import Catalog, Tables
+from granary.sources.scratch import scratch_path
 
 CATALOG = Catalog()
 
@@ -77,9 +78,9 @@ def closure(e: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _checkpoints(spark: SparkSession) -> None:
-    """The session's shared checkpoint folder; one of our own only where none is set."""
+    """The session's shared checkpoint folder; one of our own only where none is set, in local mode."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+        spark.sparkContext.setCheckpointDir(scratch_path(spark, "closure"))
 
 
 @CATALOG.query(f"WITH RECURSIVE {_EDGES}, a AS (SELECT conv_id, child, parent AS ancestor FROM e UNION SELECT a.conv_id, a.child, e.parent FROM a JOIN e ON e.conv_id = a.conv_id AND e.child = a.ancestor) SELECT conv_id, child, count(DISTINCT ancestor) AS n_ancestors, min(ancestor) AS first FROM a GROUP BY ALL")
@@ -105,10 +106,10 @@ def dag_rewire(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.where("child % 3 <> 1").distinct()
 
 
-@CATALOG.query(f"WITH {_EDGES} SELECT e.conv_id AS conv_id, e.child AS child, string_agg('[' || CAST(e.parent AS VARCHAR) || '] ' || substr(c.text, 1, 40), chr(10) ORDER BY e.parent) AS context FROM e JOIN conversations c ON c.conv_id = e.conv_id AND c.turn = e.parent GROUP BY e.conv_id, e.child")
+@CATALOG.query(f"WITH {_EDGES} SELECT e.conv_id AS conv_id, e.child AS child, string_agg('[' || CAST(e.parent AS VARCHAR) || '] ' || c.text, chr(10) ORDER BY e.parent) AS context FROM e JOIN conversations c ON c.conv_id = e.conv_id AND c.turn = e.parent GROUP BY e.conv_id, e.child")
 def view_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each node's context: the openings of its parents, in order."""
-    c = Tables(spark, sf_dir).conversations.select("conv_id", F.col("turn").alias("parent"), F.substring("text", 1, 40).alias("t"))
+    """Each node's context: the whole texts of its parents, in order."""
+    c = Tables(spark, sf_dir).conversations.select("conv_id", F.col("turn").alias("parent"), F.col("text").alias("t"))
     lines = edges(spark, sf_dir).join(c, ["conv_id", "parent"]).groupBy("conv_id", "child").agg(F.array_sort(F.collect_list(F.struct("parent", "t"))).alias("s"))
     render = lambda x: F.concat(F.lit("["), x["parent"].cast("string"), F.lit("] "), x["t"])
     return lines.select("conv_id", "child", F.array_join(F.transform("s", render), "\n").alias("context"))
