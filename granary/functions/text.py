@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.arrays import let
 
-#: Words left out when content words are compared.
+#: Words left out when content words are compared.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
 

@@ -68,18 +68,34 @@ def truth_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(4096).where(ok).agg(F.count("*").alias("n_models"), F.min("id").alias("first"))
 
 
+def rule_levels(rules: list[tuple[tuple[str, ...], str]]) -> dict[str, int]:
+    """A level for each head: not under that of a premise, and over that of a negated one. ValueError if negation runs in a circle."""
+    level: dict[str, int] = {}
+    heads = {head for _, head in rules}
+    changed = True
+    while changed:
+        changed = False
+        for premises, head in rules:
+            least = max((level.get(p.removeprefix("not "), 0) + p.startswith("not ") for p in premises), default=0)
+            if least > len(heads):
+                raise ValueError("negation runs in a circle")
+            if least > level.get(head, -1):
+                level[head] = least
+                changed = True
+    return level
+
+
 def forward_chain(facts: set[str], rules: list[tuple[tuple[str, ...], str]], closed: bool = False) -> set[str]:
-    """Closure of facts under rules; with ``closed``, premises 'not x' hold if x can't be derived (rules in strata by order of first use)."""
+    """Closure of facts under rules. With ``closed``, 'not x' holds if x can't be derived: levels are closed one after another, so x is settled before; without it, rules with negation don't fire."""
     known = set(facts)
-    plain = [r for r in rules if not any(p.startswith("not ") for p in r[0])]
-    for stage in (plain, rules if closed else []):
-        grew = True
+    usable = rules if closed else [r for r in rules if not any(p.startswith("not ") for p in r[0])]
+    level = rule_levels(usable)
+    for at in sorted(set(level.values())):
+        stage, grew = [r for r in usable if level[r[1]] == at], True
         while grew:
-            grew = False
-            for premises, head in stage:
-                if head not in known and all((p[4:] not in known) if p.startswith("not ") else (p in known) for p in premises):
-                    known.add(head)
-                    grew = True
+            new = {head for premises, head in stage if all((p[4:] not in known) if p.startswith("not ") else (p in known) for p in premises)} - known
+            known |= new
+            grew = bool(new)
     return known
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions.ranges import ranges_for
 from granary.operators.catalog import Catalog, Tables
 from granary.sources import readers, writers
 from granary.sources.scratch import scratch_path
@@ -64,10 +65,11 @@ def row_aligned_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_row_number(t.documents.select("doc_id"), "doc_id", "i").join(with_row_number(t.labels.select("doc_id", "quality"), "doc_id", "i").select("i", "quality"), "i").select("doc_id", "quality")
 
 
-def with_row_number(df: DataFrame, key: str, name: str, parts: int = 64) -> DataFrame:
-    """1-based row numbers in key order: rank within hash-free ranges, plus what lies before the range."""
+def with_row_number(df: DataFrame, key: str, name: str) -> DataFrame:
+    """1-based row numbers in key order: rank within ranges of the key, as many as the rows need, plus what lies before the range."""
     from pyspark.sql import Window
 
+    parts = 8 * ranges_for(df.count())
     cuts = df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 1000).alias("cuts")).first()["cuts"] or []
     part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(key))) if cuts else F.lit(0)
     parted = df.withColumn("_p", part)

@@ -175,3 +175,35 @@ def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pricing_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = Tables(spark, sf_dir).lineitem.where("l_shipdate <= date '1998-09-02'")
     return l.cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice").cast("double") * (1 - F.col("l_discount").cast("double"))), 2).alias("revenue"))
+
+
+_STEM = "CASE WHEN length(x) > 5 THEN regexp_replace(x, '(ing|edly|ed|es|ly|s)$', '') WHEN length(x) > 3 THEN regexp_replace(x, 's$', '') ELSE x END"
+
+
+def _sql_content(column: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+    return f"list_distinct(list_transform(list_filter(regexp_extract_all(lower(coalesce({column}, '')), '[a-z0-9]+'), lambda x: NOT list_contains([{stop}], x)), lambda x: {_STEM}))"
+
+
+@CATALOG.query(f"""
+WITH c AS (SELECT conv_id, turn, {_sql_content('text')} AS w FROM conversations), p AS (SELECT conv_id, turn, w, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM c)
+SELECT conv_id, turn, CAST(len(w) AS BIGINT) AS n_words, CASE WHEN len(w) > 0 AND q IS NOT NULL THEN round(len(list_intersect(w, q)) / len(w), 6) END AS contained FROM p
+""")
+def content_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of a turn's content words, as stems, that the turn before has."""
+    before = F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = Tables(spark, sf_dir).conversations.select("conv_id", "turn", T.content_words(F.col("text")).alias("w")).withColumn("q", before)
+    share = F.size(F.array_intersect("w", "q")) / F.size("w")
+    return c.select("conv_id", "turn", F.size("w").cast("long").alias("n_words"), F.when((F.size("w") > 0) & F.col("q").isNotNull(), F.round(share, 6)).alias("contained"))
+
+
+@CATALOG.query("""
+WITH p AS (SELECT conv_id, turn, concat('Question: ', coalesce(text, ''), chr(10), 'Question: and then?', chr(10), 'Options:', chr(10), 'A) yes') AS t FROM conversations),
+h AS (SELECT conv_id, turn, t, length(t) - strpos(reverse(t), reverse('Options:')) - 7 AS o FROM p), b AS (SELECT conv_id, turn, substr(t, 1, o) AS body FROM h)
+SELECT conv_id, turn, body, substr(body, 1, length(body) - strpos(reverse(body), reverse('Question:')) - 8) AS head FROM b
+""")
+def prompt_slicing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands before the last options block of a prompt, and before its last question."""
+    whole = F.concat(F.lit("Question: "), F.coalesce("text", F.lit("")), F.lit("\nQuestion: and then?\nOptions:\nA) yes"))
+    body = T.before_last(whole, "Options:")
+    return Tables(spark, sf_dir).conversations.select("conv_id", "turn", body.alias("body"), T.before_last(body, "Question:").alias("head"))

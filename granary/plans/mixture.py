@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.functions.hashing import hash_rank_key
+from granary.functions.ranges import in_hash_order, ranges_for
 from granary.operators.overlap import gate
 
 
@@ -63,14 +64,12 @@ def assemble(rows: DataFrame, evals: DataFrame, mix: Mixture) -> DataFrame:
         bad = small.groupBy("source", "pid").agg(F.min_by("drop_reason", F.when(F.col("drop_reason").isNotNull(), F.col("doc_id"))).alias("bad"))
         small = small.join(bad, ["source", "pid"])
         small = _add(small, F.concat(F.lit("problem:"), F.col("bad")), F.col("bad").isNotNull())
-    order = [hash_rank_key(mix.seed, F.col("source"), F.col("doc_id")), F.col("doc_id")]
+    ranges = ranges_for(rows.count())
     if mix.fill_chars is not None:
         own = F.when(F.col("drop_reason").isNull(), F.col("n_chars")).otherwise(0)
-        run = F.sum(own).over(Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - own
-        small = _add(small.withColumn("before", run), "fill:not_needed", F.col("before") >= mix.fill_chars)
-    live = F.col("drop_reason").isNull()
-    w = Window.partitionBy("source", live)
-    n = F.count("*").over(w)
-    k = F.least(F.greatest(F.lit(mix.val_least), F.ceil(mix.val_share * n)), F.lit(mix.val_most), n - 1)
-    rank = F.row_number().over(w.orderBy(hash_rank_key("val", F.col("source"), F.col("doc_id")), F.col("doc_id")))
-    return small.select("doc_id", "source", "drop_reason", F.when(live, F.when(rank <= k, "val").otherwise("train")).alias("split"))
+        small = in_hash_order(small, ["source"], hash_rank_key(mix.seed, F.col("source"), F.col("doc_id")), "doc_id", ranges, before={"before": own})
+        small = _add(small, "fill:not_needed", F.col("before") >= mix.fill_chars)
+    small = small.withColumn("live", F.col("drop_reason").isNull())
+    small = in_hash_order(small, ["source", "live"], hash_rank_key("val", F.col("source"), F.col("doc_id")), "doc_id", ranges, rank="rank", size="n")
+    k = F.least(F.greatest(F.lit(mix.val_least), F.ceil(mix.val_share * F.col("n"))), F.lit(mix.val_most), F.col("n") - 1)
+    return small.select("doc_id", "source", "drop_reason", F.when(F.col("live"), F.when(F.col("rank") <= k, "val").otherwise("train")).alias("split"))

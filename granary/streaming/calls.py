@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -48,19 +50,37 @@ def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
-def budget_stop(spark: SparkSession, calls: DataFrame, budget: float, name: str = "budget") -> tuple[float, int]:
-    """Adds up spend batch by batch and stops the stream once it is over ``budget``; (spent, batches)."""
-    spent, batches = [0.0], [0]
-    state = scratch_path(spark, name)
+def budget_stop(spark: SparkSession, calls: DataFrame, budget: float, path: str | None = None) -> tuple[float, int]:
+    """Adds up spend batch by batch and stops the stream once it reaches ``budget``; (spent, batches).
 
-    def add(batch: DataFrame, number: int) -> None:
-        if spent[0] < budget:
-            spent[0] += batch.agg(F.coalesce(F.sum("value"), F.lit(0.0))).first()[0]
-            batches[0] += 1
+    Under ``path`` (a fresh folder if none is given) stand the stream's own
+    checkpoint and each batch's spend, written by batch number: a batch that is
+    run again replaces its figure, and a restart goes on from what was spent.
+    """
+    path = path or scratch_path(spark, "budget")
+    over = threading.Event()
 
-    query = calls.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start()
+    def spent_before(number: int) -> tuple[float, int]:
+        if not number:
+            return 0.0, 0
+        r = spark.read.schema("spend double, batch long").parquet(f"{path}/spent").where(F.col("batch") < number).agg(F.coalesce(F.sum("spend"), F.lit(0.0)), F.count("*")).first()
+        return r[0], r[1]
+
+    def add(batch: DataFrame, number: int) -> None:
+        before = spent_before(number)[0]
+        if before >= budget:
+            over.set()
+            return
+        batch.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("spend")).write.mode("overwrite").parquet(f"{path}/spent/batch={number}")
+        if spent_before(number + 1)[0] >= budget:
+            over.set()
+
+    query = calls.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     try:
-        query.awaitTermination()
+        while not query.awaitTermination(0.2) and not over.is_set():
+            pass
     finally:
         query.stop()
-    return spent[0], batches[0]
+    if query.exception() is not None and not over.is_set():
+        raise query.exception()
+    return spent_before(1 << 60)

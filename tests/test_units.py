@@ -181,6 +181,11 @@ def test_generators():
     assert G.solve_knights(2, [(0, 1, True)]) == [0, 3]
     assert G.forward_chain({"a"}, [(("a",), "b"), (("b", "not c"), "d")]) == {"a", "b"}
     assert G.forward_chain({"a"}, [(("a",), "b"), (("b", "not c"), "d")], closed=True) == {"a", "b", "d"}
+    # d rests on "not c", and c on "not b": b is settled first, whatever the order of the rules.
+    for rules in ([(("not c",), "d"), (("not b",), "c"), (("a",), "b")], [(("a",), "b"), (("not b",), "c"), (("not c",), "d")]):
+        assert G.forward_chain({"a"}, rules, closed=True) == {"a", "b", "d"}
+    with pytest.raises(ValueError, match="circle"):
+        G.forward_chain(set(), [(("not p",), "q"), (("not q",), "p")], closed=True)
     assert G.run_program([("/", 0, 1)], [Fraction(1), Fraction(3)])[-1] == Fraction(1, 3)
 
 
@@ -217,3 +222,47 @@ def test_exact_jaccard_of_frequent_grams(spark, tmp_path):
             want[b] = (min(near), round(max(near.values()), 6))
     assert len(want) > 15
     assert {r["doc_id"]: (r["like_id"], r["jaccard"]) for r in near_dup_exact_jaccard(spark, folder).collect()} == want
+
+
+def test_lsh_drop_equals_all_pairs(spark, tmp_path, monkeypatch):
+    import random
+
+    from granary.operators import dedup
+
+    rng = random.Random(8)
+    base = [[rng.choice("abcdefghijklmnop") * 3 + str(rng.randrange(40)) for _ in range(90)] for _ in range(3)]
+    rows = []
+    for i in range(90):
+        text = list(base[i % 3])
+        for _ in range(rng.randrange(3)):
+            text[rng.randrange(90)] = f"w{rng.randrange(99)}"
+        rows.append((i, " ".join(text), f"src{i % 4 if i % 5 else 9}"))
+    rows += [(200 + i, rows[i][1], None if i % 2 else "src0") for i in range(12)]
+    folder = f"file://{tmp_path}"
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.write.parquet(f"{folder}/documents.parquet")
+    s = {r[0]: np.array(r[1]) for r in df.select("doc_id", dedup.minhash(F.col("text"))).collect()}
+    src = {i: x or "" for i, _, x in rows}
+    want = {}
+    for b in s:
+        near = [a for a in s if a < b and src[a] != src[b] and (s[a] == s[b]).sum() >= 0.8 * 64]
+        if near:
+            want[b] = min(near)
+    assert len(want) > 30
+    for tile in (1024, 7):
+        monkeypatch.setattr(dedup, "BAND_TILE", tile)
+        assert {r["doc_id"]: r["like"] for r in dedup.lsh_near_dup_drop(spark, folder).collect()} == want
+
+
+def test_budget_survives_a_restart(spark, tmp_path):
+    from granary.streaming import calls
+
+    log, path = f"file://{tmp_path}/log", f"file://{tmp_path}/budget"
+    for k in range(3):
+        spark.createDataFrame([(10.0,), (float(k),)], "value double").coalesce(1).write.mode("append").parquet(log)
+    stream = lambda: calls.event_stream(spark, log, "value double")
+    spent, n = calls.budget_stop(spark, stream(), 15.0, path)
+    assert n == 2 and 20 <= spent <= 23
+    assert calls.budget_stop(spark, stream(), 15.0, path) == (spent, n)
+    rest, m = calls.budget_stop(spark, stream(), 1000.0, f"file://{tmp_path}/other")
+    assert (rest, m) == (33.0, 3)
