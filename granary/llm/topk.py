@@ -1,17 +1,24 @@
 """Exact top-k inner products by block-at-a-time pruning.
 
 Vectors become whole numbers per dimension; each dimension is a term. Rows are
-cut into document-range blocks in id order; a block keeps a forward index (its
-ids and rows as a matrix) and for each term the largest and smallest weight in
-it. For a query the sum over its terms of the best the block could give bounds
-every score in the block. Blocks are visited in the order of falling bounds and
-scored through their forward index until the next bound cannot reach the k-th
-score so far; a bound equal to it is still visited, as ties go to smaller ids.
-
-Work is split into (super block, query group) cells of bounded size: each cell
-prunes its blocks and yields at most k rows a query, and a window merges the
-cells. The queries are a stated set, so queries times super blocks is the work
-asked for; only blocks of rows move, never pairs.
+ordered by their nearest of ``CENTRES`` rows (those with the smallest hash: a
+bounded sample that only shapes the blocks) and cut into blocks of about
+``BLOCK_ROWS``; a block keeps a forward index (its ids and rows as a matrix) and
+for each term the largest and smallest weight in it. For a query the sum over
+its terms of the best the block could give bounds every score in the block.
+
+1. Every query looks at the bounds of all blocks (a 32nd of the vectors' bytes
+   at 64 rows a block) and scores the ``FIRST`` best ones through their forward
+   index. Its k-th score there is a threshold that the true k-th cannot be under.
+2. Only blocks whose bound reaches the threshold of some query of a group are
+   sent to that group. A block scores the queries whose bound reaches their k-th
+   score so far, which rises as blocks are scored; a bound equal to it still
+   counts, as ties go to smaller ids.
+
+Work is split into cells (a chunk of blocks, a group of queries near each
+other) of bounded size, each of which yields at most k rows a query; a window
+merges the cells. The queries are a stated set, so queries times blocks is the
+work asked for; only blocks of rows move, never pairs.
 
 Edge cases: vectors that are null or hold a null, NaN or infinite component, and
 rows without id, take no part; components saturate at ``MOST`` after scaling, so
@@ -36,9 +43,12 @@ K = 20
 SCALE = 64
 QUERY_EVERY = 20
 MOST = 1 << 25
-BLOCK_ROWS = 512
-#: Rows in a super block and queries in a group: what one task holds.
-SUPER_ROWS, GROUP_QUERIES = 32_768, 4096
+BLOCK_ROWS = 64
+CENTRES = 128
+#: Blocks that set a query's first threshold.
+FIRST = 2
+#: Blocks in a chunk and queries in a group: what one task holds.
+CHUNK_BLOCKS, GROUP_QUERIES = 512, 4096
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -49,84 +59,207 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return sound.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.greatest(F.lit(-float(MOST)), F.least(F.lit(float(MOST)), c.cast("double") * scale))).cast("long")).alias("v"))
 
 
-class Block:
-    """A run of rows in id order with its term bounds."""
-
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
-        self.high, self.low = rows.max(0), rows.min(0)
-
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """The most that any row of the block can score, for each query."""
-        return np.maximum(queries, 0) @ self.high + np.minimum(queries, 0) @ self.low
-
-
 def exact_floats(*parts: np.ndarray) -> bool:
     """Whether inner products of such rows are whole numbers that doubles hold exactly."""
     most = [float(np.abs(p).max()) if p.size else 0.0 for p in parts]
     return most[0] * most[1] * max(1, parts[0].shape[1]) < 2**53
 
 
-def best_of(query: np.ndarray, query_id: int, blocks: list[Block], bounds: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """[(score, id)], best first, of the rows other than the query's own id."""
-    ids, scores = np.zeros(0, np.int64), np.zeros(0, query.dtype)
-    for b in np.argsort(-bounds, kind="stable"):
-        if len(scores) >= k and bounds[b] < scores[k - 1]:
-            break
-        block = blocks[b]
-        got = block.rows @ query
-        keep = block.ids != query_id
-        if len(scores) >= k:
-            keep &= got >= scores[k - 1]
-        ids, scores = np.concatenate([ids, block.ids[keep]]), np.concatenate([scores, got[keep]])
-        order = np.lexsort((ids, -scores))[:k]
-        ids, scores = ids[order], scores[order]
-    return list(zip(scores.tolist(), ids.tolist(), strict=True))
-
-
-def search_cell(queries: list[tuple[int, int, np.ndarray]], blocks: list[Block], k: int) -> Iterator[tuple[int, int, int, int]]:
-    """(query's row number, query id, id, score) for each query of a group within one super block."""
-    if not queries or not blocks:
-        return
-    q = np.stack([v for _, _, v in queries])
-    bounds = np.stack([b.bounds(q) for b in blocks], 1)
-    for (number, query_id, v), bound in zip(queries, bounds, strict=True):
-        for score, vec_id in best_of(v, query_id, blocks, bound, k):
-            yield number, query_id, vec_id, int(score)
-
-
-def _blobs(rows: pd.DataFrame, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), np.int64)
-    for o, v in zip(out, rows["v"], strict=True):
+def bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The most that any row of each block can score, for each query: (queries, blocks)."""
+    return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+
+
+def matrix(vectors: pd.Series, width: int) -> np.ndarray:
+    out = np.zeros((len(vectors), width), np.int64)
+    for o, v in zip(out, vectors, strict=True):
         o[: len(v)] = v
     return out
 
 
-def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = QUERY_EVERY, block_rows: int = BLOCK_ROWS, super_rows: int = SUPER_ROWS, group_queries: int = GROUP_QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows of each query, a query being a row whose id is divisible by ``every``."""
-    rows = materialize(quantised(vectors, scale).withColumn("number", F.monotonically_increasing_id()), "vectors")
-    seen = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q"), F.max(F.size("v")).alias("width")).first()
-    width = max(1, seen["width"] or 1)
-    supers, groups = max(1, -(-seen["n"] // super_rows)), max(1, -(-seen["q"] // group_queries))
-    # Ranges of ids are dealt out to super blocks by hash.
-    mixed = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(groups)).cast("int")
-    candidates = rows.withColumn("super", F.pmod(F.xxhash64(F.floor(F.col("vec_id") / block_rows)), F.lit(supers)).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    queries = rows.where(F.col("vec_id") % every == 0).withColumn("grp", mixed).withColumn("super", F.explode(F.sequence(F.lit(0), F.lit(supers - 1))))
-
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("vec_id", kind="stable")
-        ids, data, asked = left["vec_id"].to_numpy(np.int64), _blobs(left, width), _blobs(right, width)
-        if exact_floats(data, asked):
-            data, asked = data.astype(np.float64), asked.astype(np.float64)
-        else:
-            data, asked = data.astype(object), asked.astype(object)
-        blocks = [Block(ids[a : a + block_rows], data[a : a + block_rows]) for a in range(0, len(ids), block_rows)]
-        found = list(search_cell(list(zip(right["number"].tolist(), right["vec_id"].tolist(), asked, strict=True)), blocks, k))
-        return pd.DataFrame(found, columns=["number", "query_id", "vec_id", "score"], dtype="int64")
-
-    parts = candidates.groupBy("super", "grp").cogroup(queries.groupBy("super", "grp")).applyInPandas(cell, "number long, query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), "vec_id"))
-    return parts.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def stacked(blobs: pd.Series, width: int) -> np.ndarray:
+    """Rows of whole numbers that are held as bytes."""
+    return np.frombuffer(b"".join(blobs), np.int64).reshape(-1, width)
+
+
+def score_blocks(asked: np.ndarray, own: np.ndarray, least: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of each query's k best rows in these (ids, rows) blocks, as far as they reach ``least``, its threshold; other rows than those of its own id.
+
+    Blocks come in the order of how far their best bound is above a threshold;
+    a block scores only the queries whose bound reaches what they have.
+    """
+    least = least.copy()
+    low = np.iinfo(np.int64).min if asked.dtype == np.int64 else -np.inf
+    tops = np.full((len(asked), k), low, asked.dtype)
+    at, ids, scores = [], [], []
+    for b in np.argsort(-(bound - least[:, None]).max(0), kind="stable"):
+        sel = np.flatnonzero(bound[:, b] >= least)
+        if not len(sel):
+            continue
+        block_ids, rows = blocks[b]
+        got = asked[sel] @ rows.T
+        got[block_ids[None] == own[sel, None]] = low
+        hit = (got >= least[sel, None]) & (got > low)
+        some = np.flatnonzero(hit.any(1))
+        if not len(some):
+            continue
+        q, r = np.nonzero(hit[some])
+        at.append(sel[some][q])
+        ids.append(block_ids[r])
+        scores.append(got[some][q, r])
+        sel = sel[some]
+        both = np.concatenate([tops[sel], got[some]], 1)
+        tops[sel] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+        least[sel] = np.maximum(least[sel], tops[sel].min(1))
+    if not at:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, ids, scores = np.concatenate(at), np.concatenate(ids), np.concatenate(scores)
+    order = np.lexsort((ids, -scores, at))
+    at, ids, scores = at[order], ids[order], scores[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    keep = place < k
+    return at[keep], ids[keep], scores[keep].astype(np.int64)
+
+
+def arrays(blocks: pd.DataFrame, asked: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries, highest, lowest weights) as doubles if these are exact, else as whole numbers."""
+    q, high, low = matrix(asked, width), stacked(blocks["high"], width), stacked(blocks["low"], width)
+    if exact_floats(q, np.maximum(np.abs(high), np.abs(low))):
+        return q.astype(np.float64), high.astype(np.float64), low.astype(np.float64)
+    return q, high, low
+
+
+def forward(blocks: pd.DataFrame, width: int, dtype) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, rows) of each block."""
+    return [(np.frombuffer(i, np.int64), np.frombuffer(r, np.int64).reshape(-1, width).astype(dtype)) for i, r in zip(blocks["ids"], blocks["rows"], strict=True)]
+
+
+class Search:
+    """The blocks and query groups of one table, and the two passes over them."""
+
+    def __init__(self, vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = QUERY_EVERY, block_rows: int = BLOCK_ROWS, chunk_blocks: int = CHUNK_BLOCKS, group_queries: int = GROUP_QUERIES, centres: int = CENTRES):
+        self.k, self.every = k, every
+        rows = materialize(quantised(vectors, scale).withColumn("number", F.monotonically_increasing_id()), "vectors")
+        self.width = width = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 1)
+        sample = pd.Series([r["v"] for r in rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id", "number").limit(centres).select("v").collect()], dtype=object)
+        points = matrix(sample, width).astype(np.float64)
+
+        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                x = matrix(b["v"], width).astype(np.float64)
+                yield b.assign(cell=((points**2).sum(1)[None] - 2 * x @ points.T).argmin(1).astype(np.int32))
+
+        placed = materialize(rows.mapInPandas(nearest, "vec_id long, v array<long>, number long, cell int"), "placed")
+        is_query = F.col("vec_id") % every == 0
+        # At most one row a centre: how many rows and queries are near it.
+        sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).orderBy("cell").collect()
+        plan, base, group, open_ = [], 0, -1, 0
+        for r in sizes:
+            parts = -(-r["n"] // block_rows)
+            if group < 0 or open_ + r["q"] > group_queries:
+                group, open_ = group + 1, 0
+            split = max(1, -(-r["q"] // group_queries))
+            plan.append((r["cell"], base, parts, group, split))
+            base, group, open_ = base + parts, group + split - 1, open_ + r["q"] if split == 1 else group_queries
+        self.n_blocks, self.groups, self.chunks = base, group + 1, -(-base // chunk_blocks)
+        plan = rows.sparkSession.createDataFrame(plan or [(-1, 0, 1, 0, 1)], "cell int, base long, parts long, first_group int, split int")
+        dealt = placed.join(F.broadcast(plan), "cell")
+        block = F.col("base") + F.pmod(F.xxhash64("number"), F.col("parts"))
+
+        def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["vec_id", "number"])
+            x = matrix(pdf["v"], width)
+            ends = [a.tobytes() for a in (pdf["vec_id"].to_numpy(np.int64), x, x.max(0), x.min(0))]
+            return pd.DataFrame([(pdf["block"].iloc[0], *ends)], columns=["block", "ids", "rows", "high", "low"])
+
+        packed = dealt.select(block.alias("block"), "vec_id", "v", "number").groupBy("block").applyInPandas(pack, "block long, ids binary, rows binary, high binary, low binary")
+        self.blocks = materialize(packed.withColumn("chunk", F.floor(F.col("block") / chunk_blocks).cast("int")), "blocks")
+        grp = (F.col("first_group") + F.pmod(F.xxhash64("number", F.lit(7)), F.col("split"))).cast("int")
+        self.queries = dealt.where(is_query).select(grp.alias("grp"), "number", "vec_id", "v")
+
+    def _cells(self, blocks: DataFrame, queries: DataFrame, work, schema: str) -> DataFrame:
+        """``work(blocks, queries)`` over the rows of each (chunk, grp)."""
+        queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # attributes of their own, for cogroup
+        return blocks.groupBy("chunk", "grp").cogroup(queries.groupBy("chunk", "grp")).applyInPandas(lambda x, y: work(x.sort_values("block"), y.sort_values("number")), schema)
+
+    def _bounds(self, queries: DataFrame, work, schema: str) -> DataFrame:
+        """``work`` over all blocks' bounds and all queries."""
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
+        summaries = self.blocks.select("chunk", "block", "high", "low").withColumn("grp", every(self.groups))
+        return self._cells(summaries, queries.withColumn("chunk", every(self.chunks)), work, schema)
+
+    def thresholds(self, first: int = FIRST) -> DataFrame:
+        """(number, least): the k-th score of each query in its best-bounded blocks, where they hold k rows."""
+        k, width = self.k, self.width
+
+        def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            if not len(x) or not len(y):
+                return pd.DataFrame(columns=["number", "grp", "block", "bound"])
+            bound = bounds(*arrays(x, y["v"], width))
+            top = np.argsort(-bound, 1, kind="stable")[:, :first]
+            n = top.shape[1]
+            return pd.DataFrame({"number": np.repeat(y["number"].to_numpy(), n), "grp": np.repeat(y["grp"].to_numpy(), n), "block": x["block"].to_numpy()[top].ravel(), "bound": np.take_along_axis(bound, top, 1).ravel().astype(float)})
+
+        found = self._bounds(self.queries, best, "number long, grp int, block long, bound double")
+        w = Window.partitionBy("number").orderBy(F.desc("bound"), "block")
+        wanted = materialize(found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= first).select("number", "grp", "block"), "wanted")
+
+        def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            q = arrays(x, y["v"], width)[0]
+            out = []
+            for block, (ids, rows) in zip(x["block"], forward(x, width, q.dtype), strict=True):
+                sel = np.flatnonzero(y["block"].to_numpy() == block)
+                got = q[sel] @ rows.T
+                own = ids[None] == y["vec_id"].to_numpy()[sel, None]
+                for n, g, o in zip(y["number"].to_numpy()[sel], got, own, strict=True):
+                    out += [(n, int(v)) for v in np.sort(g[~o])[::-1][:k]]
+            return pd.DataFrame(out, columns=["number", "score"], dtype="int64")
+
+        pairs = wanted.join(self.blocks.select("block", "chunk"), "block")
+        some = self.blocks.join(wanted.select("block", "grp").distinct(), "block")
+        rows = self._cells(some, pairs.join(self.queries.select("number", "vec_id", "v"), "number"), score, "number long, score long")
+        ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score")))).where(F.col("r") <= k)
+        return ranked.groupBy("number").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k).select("number", "least")
+
+    def needed(self, asked: DataFrame) -> DataFrame:
+        """(chunk, grp, block, visits): the blocks whose bound reaches the threshold of ``visits`` queries of a group, and no others."""
+        width = self.width
+
+        def reach(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            if not len(x) or not len(y):
+                return pd.DataFrame(columns=["chunk", "grp", "block", "visits"])
+            bound = bounds(*arrays(x, y["v"], width))
+            visits = (bound >= y["least"].to_numpy(np.int64)[:, None]).sum(0)
+            out = pd.DataFrame({"chunk": x["chunk"].iloc[0], "grp": y["grp"].iloc[0], "block": x["block"], "visits": visits})
+            return out[out["visits"] > 0]
+
+        return self._bounds(asked, reach, "chunk int, grp int, block long, visits long")
+
+    def asked(self) -> DataFrame:
+        """The queries with their thresholds; the least number for those without."""
+        known = self.queries.join(self.thresholds(), "number", "left")
+        return materialize(known.withColumn("least", F.coalesce("least", F.lit(-(1 << 62)))), "asked")
+
+    def results(self) -> DataFrame:
+        k, width = self.k, self.width
+        asked = self.asked()
+        needed = materialize(self.needed(asked), "needed")
+
+        def search(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            q, high, low = arrays(x, y["v"], width)
+            own = y["vec_id"].to_numpy(np.int64)
+            at, ids, scores = score_blocks(q, own, y["least"].to_numpy(np.int64).astype(q.dtype), forward(x, width, q.dtype), bounds(q, high, low), k)
+            return pd.DataFrame({"number": y["number"].to_numpy()[at], "query_id": own[at], "vec_id": ids, "score": scores})
+
+        sent = self.blocks.drop("chunk").join(needed.select("chunk", "grp", "block"), "block")
+        parts = self._cells(sent, asked.join(needed.select("chunk", "grp").distinct(), "grp"), search, "number long, query_id long, vec_id long, score long")
+        rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), "vec_id"))
+        return parts.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = QUERY_EVERY, **sizes: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best rows of each query, a query being a row whose id is divisible by ``every``. ``sizes``: those of ``Search``."""
+    return Search(vectors, k, scale, every, **sizes).results()
 
 
 def op7_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,7 +237,7 @@ def test_top_k_small_blocks(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(90)] + [(91, None), (92, [1.0, None]), (93, [float("nan")]), (94, [float("inf")]), (95, [0.5]), (None, [1.0] * 6), (20, [0.1] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = [tuple(r) for r in topk.top_k(df, k=7, block_rows=8, super_rows=30, group_queries=3).orderBy("query_id", "rank", "vec_id").collect()]
+    got = [tuple(r) for r in topk.top_k(df, k=7, block_rows=8, chunk_blocks=4, group_queries=3, centres=5).orderBy("query_id", "rank", "vec_id").collect()]
     sound = [(i, np.floor(np.array(v, np.float32).astype(float) * 64).astype(int)) for i, v in rows if i is not None and i not in (91, 92, 93, 94)]
     sound = [(i, np.pad(v, (0, 6 - len(v)))) for i, v in sound]
     ids = sorted({i for i, _ in sound if i % 20 == 0} - {20})
@@ -257,12 +257,34 @@ def test_huge_components_saturate(spark):
     assert [(r["vec_id"], r["score"]) for r in topk.top_k(df).orderBy("rank").collect()] == [(3, top), (2, 64 * 64 * topk.MOST), (1, -top)]
 
 
-def test_bounds_hold_and_prune():
+def test_bounds_hold():
     rng = np.random.default_rng(0)
     rows = np.concatenate([rng.integers(-3, 3, (64, 5)) + 20 * k for k in range(6)]).astype(float)
-    blocks = [topk.Block(np.arange(a, a + 32), rows[a : a + 32]) for a in range(0, 384, 32)]
-    q = rng.integers(-9, 9, 5).astype(float)
-    bounds = np.array([b.bounds(q[None])[0] for b in blocks])
-    assert all((b.rows @ q).max() <= m for b, m in zip(blocks, bounds, strict=True))
-    best = topk.best_of(q, -1, blocks, bounds, 4)
-    assert [s for s, _ in best] == sorted((rows @ q).tolist(), reverse=True)[:4]
+    blocks = [(np.arange(a, a + 32), rows[a : a + 32]) for a in range(0, 384, 32)]
+    q = rng.integers(-9, 9, (7, 5)).astype(float)
+    bound = topk.bounds(q, np.stack([r.max(0) for _, r in blocks]), np.stack([r.min(0) for _, r in blocks]))
+    assert all(((q @ r.T).max(1) <= bound[:, b]).all() for b, (_, r) in enumerate(blocks))
+    at, ids, scores = topk.score_blocks(q, np.full(7, -1), np.full(7, -1e9), blocks, bound, 4)
+    for i in range(7):
+        want = sorted(zip(-(rows @ q[i]), range(384), strict=True))[:4]
+        assert [(-s, j) for j, s in zip(ids[at == i].tolist(), scores[at == i].tolist(), strict=True)] == want
+
+
+def test_clustered_vectors_are_pruned(spark):
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(40, 16))
+    centre /= np.linalg.norm(centre, axis=1)[:, None]
+    x = np.repeat(centre, 60, 0) + 0.03 * rng.normal(size=(2400, 16))
+    order = rng.permutation(2400)
+    df = spark.createDataFrame([(i, x[j].tolist()) for i, j in enumerate(order)], "vec_id long, embedding array<double>")
+    search = topk.Search(df, k=5, block_rows=16)
+    asked = search.asked()
+    visits = search.needed(asked).agg(F.sum("visits")).first()[0]
+    assert visits < 0.3 * 120 * search.n_blocks
+    v = np.floor(64 * x[order]).astype(int)
+    got = defaultdict(list)
+    for r in topk.top_k(df, k=5, block_rows=16).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q in range(0, 2400, 20):
+        want = sorted((-int(v[q] @ v[j]), j) for j in range(2400) if j != q)[:5]
+        assert got[q] == [(j, -s) for s, j in want]
