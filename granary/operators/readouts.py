@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
@@ -152,13 +152,26 @@ def asof_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where(F.col("step") == F.least(F.lit(5), F.col("n"))).select("user_id", "event_id", "value", (F.col("n") >= 5).alias("chosen_epoch"))
 
 
-@CATALOG.query("WITH f AS (SELECT item_id, substr(regexp_replace(lower(text), '[^a-z ]', '', 'g'), 1, 6) AS k FROM benchmark), q AS (SELECT doc_id, substr(regexp_replace(lower(text), '[^a-z ]', '', 'g'), 1, 6) AS k FROM documents) SELECT doc_id, min(item_id) AS item_id FROM q JOIN f USING (k) GROUP BY doc_id HAVING count(*) = 1")
+_SENTENCES = "SELECT {0}, list_distinct(list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[.!?\\n]+'), lambda x: array_to_string(regexp_extract_all(x, '[a-z0-9]+'), ' ')), lambda x: len(string_split(x, ' ')) >= 4)) AS s FROM {1}"
+
+
+def sentences(text: Column) -> Column:
+    """The distinct sentences and lines of four tokens or more, as tokens joined by blanks."""
+    parts = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[.!?\n]+"), T.normalised)
+    return F.array_distinct(F.filter(parts, lambda x: F.size(F.split(x, " ")) >= 4))
+
+
+@CATALOG.query(f"""
+WITH f AS (SELECT k, min(item_id) AS item_id FROM (SELECT item_id, unnest(s) AS k FROM ({_SENTENCES.format('item_id', 'benchmark')})) GROUP BY k HAVING count(DISTINCT item_id) = 1),
+q AS (SELECT doc_id, unnest(s) AS k FROM ({_SENTENCES.format('doc_id', 'documents')}))
+SELECT doc_id, item_id, count(*) AS n_steps FROM q JOIN f USING (k) GROUP BY ALL
+""")
 def unique_fact_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps that exactly one fact answers, by key."""
+    """Sentences of documents that exactly one fact states, by whole sentence; how many of each fact a document has."""
     t = Tables(spark, sf_dir)
-    key = F.substring(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), 1, 6).alias("k")
-    facts = t.benchmark.select("item_id", key).groupBy("k").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n")).where("n = 1")
-    return t.documents.select("doc_id", key).join(facts, "k").select("doc_id", "item_id")
+    facts = t.benchmark.select("item_id", F.explode(sentences(F.col("text"))).alias("k")).groupBy("k").agg(F.min("item_id").alias("item_id"), F.max("item_id").alias("last")).where("item_id = last").drop("last")
+    steps = t.documents.select("doc_id", F.explode(sentences(F.col("text"))).alias("k"))
+    return steps.join(facts, "k").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_steps"))
 
 
 @CATALOG.query(PREDS + "SELECT seed, item_id, (correct = 1) = (pg >= 0.5) AND (top = gold OR pg < 0.5) AS kept FROM sc")
