@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.operators.catalog import Catalog, Tables
 from granary.operators.overlap import _gate_sql, sql_tokens
 from granary.plans.mixture import Mixture, assemble
+from granary.plans.problems import Assembly, Fill, Source, assemble_problems
 
 CATALOG = Catalog()
 MIX = Mixture(exclude="src(7|9)$", least_chars=150, fill_chars=60_000, group_size=2)
@@ -35,3 +36,43 @@ def mixture_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixture_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixture_assemble(spark, sf_dir)
     return m.groupBy("source", "split", F.coalesce(F.split_part("drop_reason", F.lit(":"), F.lit(1)), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+#: Four sources in order of priority; the first two are one group, the last is filled up to a number of rows.
+PROBLEMS = Assembly(
+    sources=(
+        Source("s0", group="core", label="gold", node_cap=1, own_evals=("bench2",)),
+        Source("s1", group="core", label="program"),
+        Source("s2", licence="ATTR", nodes=False),
+        Source("s3"),
+    ),
+    release=True,
+    fill=Fill("s3", 120),
+    val_share=0.1,
+    val_most=5,
+    seed="mix",
+)
+
+
+def problem_rows(documents: DataFrame) -> DataFrame:
+    """Documents as rows of problems: three ids in turn are a final row and its nodes, in a source named by the number of their own."""
+    number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(3))
+    gold = F.when(F.col("doc_id") % 2 == 0, "A").otherwise("B")
+    soft = F.create_map(F.lit("A"), F.lit(0.7), F.lit("B"), F.lit(0.3))
+    hot = F.create_map(F.lit("A"), (gold == "A").cast("double"), F.lit("B"), (gold == "B").cast("double"))
+    return documents.select(
+        F.concat(F.lit("s"), (number % 4).cast("string")).alias("source"), F.when(F.col("doc_id") % 30 == 0, "val").otherwise("train").alias("split"),
+        F.floor(F.col("doc_id") / 3).cast("string").alias("problem"), F.when(F.col("doc_id") % 3 == 0, "final").otherwise("node").alias("kind"),
+        F.col("doc_id").cast("string").alias("item_id"), "text", F.col("lang").alias("family"),
+        F.when(F.col("doc_id") % 11 == 0, "NC").otherwise("PERM").alias("licence"), F.when(F.col("doc_id") % 37 == 0, "audit").alias("flag"),
+        (F.col("doc_id") % 41 == 0).alias("generated"), F.lit(None).cast("double").alias("weight"),
+        F.array(F.lit("A"), F.lit("B")).alias("labels"), gold.alias("gold_label"), F.when(F.col("doc_id") % 13 == 0, soft).otherwise(hot).alias("teacher"),
+    )
+
+
+@CATALOG.query()
+def problem_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assembler of problems with licences, near duplicates, node weights, fill and validation split; the tests hold it against a plain loop."""
+    t = Tables(spark, sf_dir)
+    evals = t.benchmark.select(F.concat(F.lit("bench"), F.col("item_id") % 3).alias("file"), "item_id", "text")
+    return assemble_problems(problem_rows(t.documents), evals, PROBLEMS)
