@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import bpe, langid, linededup, neardup, packing, quality_model, quality_rules, sharding, topk, warc
+from granary.llm import bpe, langid, linededup, neardup, packing, quality_model, quality_rules, sharding, spelling, topk, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_ftrl_quality": quality_model.op8_ftrl_quality,
         "op9_swap_packing": packing.op9_swap_packing,
         "op10_bounded_ring": sharding.op10_bounded_ring,
+        "op11_toxic_grammar": toxicity.op11_toxic_grammar,
+        "op12_aho_halves": spelling.op12_aho_halves,
+        "op13_exact_whitening": whitening.op13_exact_whitening,
     }
 
 
