@@ -45,6 +45,8 @@ LEAST_LENGTH, LEAST_COUNT, FACTOR = 5, 3, 2
 DAMAGE = 97
 #: Words whose halves one shard holds, about; and how many words may look for one half before it is split.
 SHARD_WORDS, SPLIT = 20_000, 40_000
+#: The cell of a half that isn't split.
+WHOLE = -1
 #: Marks of a word's start and end, which no word has.
 START, END = "\x02", "\x03"
 
@@ -100,16 +102,14 @@ def _keys(rest: str):
 class HalfAutomaton:
     """An automaton over marked halves, and the words behind each by their other half."""
 
-    def __init__(self, words: list[str], counts: list[int], marked: list[str]):
-        self.words, self.counts, self.marked = words, counts, marked
-        self.behind: dict[str, dict] = {}
+    def __init__(self, words: list[str], counts: list[int], marked: list[str], cells: list[int]):
+        self.words, self.counts = words, counts
+        self.behind: dict[tuple[str, int], dict] = defaultdict(lambda: defaultdict(list))
         self.automaton = ahocorasick.Automaton()
-        for k, (word, half) in enumerate(zip(words, marked, strict=True)):
-            if half not in self.behind:
-                self.behind[half] = defaultdict(list)
-                self.automaton.add_word(half, half)
+        for k, (word, half, cell) in enumerate(zip(words, marked, cells, strict=True)):
+            self.automaton.add_word(half, half)
             for key in _keys(self.rest(word, half)):
-                self.behind[half][key].append(k)
+                self.behind[half, cell][key].append(k)
         if words:
             self.automaton.make_automaton()
 
@@ -117,22 +117,22 @@ class HalfAutomaton:
     def rest(word: str, half: str) -> str:
         return word[len(half) - 1 :] if half[0] == START else word[: len(word) - len(half) + 1]
 
-    def near(self, word: str):
-        """Indexes of the words near this one, by a half that is held here; none twice over all shards."""
+    def near(self, word: str, cells: dict[str, list[int]]):
+        """Indexes of the words near this one, by a half that is held here; none twice over all shards. ``cells``: those of split halves that this word looks into here."""
         whole = START + word + END
         for end, half in self.automaton.iter(whole):
             at_start = half[0] == START
             if (end != len(half) - 1) if at_start else (end != len(whole) - 1):
                 continue
-            rest, found = self.rest(word, half), self.behind[half]
-            seen = set()
-            for i, key in _keys(rest):
-                # Replaced: the same place left out of both. Deleted or inserted: a rest that is the other less one.
-                seen.update(found.get((i, key), ()))
-                if i >= 0:
-                    seen.update(found.get((-1, key), ()))
-            for j in range(len(rest) + 1):
-                seen.update(found.get((j, rest), ()))
+            rest, seen = self.rest(word, half), set()
+            for found in (self.behind[half, c] for c in [WHOLE, *cells.get(half, ())] if (half, c) in self.behind):
+                for i, key in _keys(rest):
+                    # Replaced: the same place left out of both. Deleted or inserted: a rest that is the other less one.
+                    seen.update(found.get((i, key), ()))
+                    if i >= 0:
+                        seen.update(found.get((-1, key), ()))
+                for j in range(len(rest) + 1):
+                    seen.update(found.get((j, rest), ()))
             for k in seen:
                 other = self.words[k]
                 if abs(len(other) - len(word)) <= 1 and one_edit(other, word) and (at_start or not word.startswith(other[: len(other) // 2])):
@@ -148,20 +148,29 @@ def near_words(words: DataFrame, shard_words: int = SHARD_WORDS, split: int = SP
 
     def dealt(rows: DataFrame, mine: str, other: str, seed: int) -> DataFrame:
         parts = F.coalesce("parts", F.lit(1))
-        placed = rows.join(hot, "half", "left").withColumn(mine, F.pmod(F.xxhash64("word", F.lit(seed)), parts)).withColumn(other, F.explode(F.sequence(F.lit(0), parts - 1)))
-        return placed.select(F.pmod(F.xxhash64("half", "p", "q"), F.lit(shards)).cast("int").alias("shard"), "word", "n", "half")
+        placed = rows.join(hot, "half", "left").withColumn(mine, F.pmod(F.xxhash64("word", F.lit(seed)), parts).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), parts - 1)))
+        cell = F.when(parts > 1, F.col("p") * parts + F.col("q")).otherwise(WHOLE)
+        return placed.select(F.pmod(F.xxhash64("half", "p", "q"), F.lit(shards)).cast("int").alias("shard"), "word", "n", "half", cell.alias("cell"))
 
     def scan(index: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        held = HalfAutomaton(index["word"].tolist(), index["n"].tolist(), index["half"].tolist())
+        held = HalfAutomaton(index["word"].tolist(), index["n"].tolist(), index["half"].tolist(), index["cell"].tolist())
+        looking: dict[str, dict[str, list[int]]] = defaultdict(dict)
+        for word, half, cell in zip(rows["word"], rows["split"], rows["cell"], strict=True):
+            if cell == WHOLE:
+                looking[word]
+            else:
+                looking[word].setdefault(half, []).append(cell)
         out = []
-        for word in rows["word"].unique() if len(index) else ():
-            found = list(held.near(word))
+        for word, cells in looking.items() if len(index) else ():
+            found = list(held.near(word, cells))
             if found:
                 out.append((word, len(found), *min((-held.counts[k], held.words[k]) for k in found)))
         return pd.DataFrame(out, columns=["word", "n_near", "less", "best"])
 
     a = dealt(held, "p", "q", 1)
-    b = dealt(looks, "q", "p", 2).select("shard", "word").distinct().select(*[F.col(c).alias(c) for c in ("shard", "word")])  # attributes of their own, for cogroup
+    # A word scans a shard once for all halves that aren't split. Attributes of their own, for cogroup.
+    b = dealt(looks, "q", "p", 2).select("shard", "word", F.when(F.col("cell") != WHOLE, F.col("half")).alias("split"), "cell").distinct()
+    b = b.select(*[F.col(c).alias(c) for c in b.columns])
     parts = a.groupBy("shard").cogroup(b.groupBy("shard")).applyInPandas(scan, "word string, n_near long, less long, best string")
     return parts.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct("less", "best")).alias("best"))
 

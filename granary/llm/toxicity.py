@@ -328,7 +328,8 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"id": batch.column(0).cast(pa.string()), "label": batch.column(2), "x": pa.array([reader.features(t.as_py()).tolist() for t in batch.column(1)], pa.list_(pa.float64()))})
 
-    got = sample.mapInArrow(rows, "id string, label int, x array<double>").orderBy("label", "x").collect()
+    got = sample.mapInArrow(rows, "id string, label int, x array<double>").collect()
+    got.sort(key=lambda r: (r["label"], r["x"]))
     y = np.array([r["label"] for r in got], float)
     back = np.array([counts[k] / taken[k] for k in (0, 1)])
     weigh = back[y.astype(int)]
