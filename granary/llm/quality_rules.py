@@ -6,7 +6,9 @@ mostly repetition. The others are judged by a vector of transformed statistics
 windows), against a minimum-covariance-determinant estimate of the texts of its
 language and source: from medians and median deviations, concentration steps
 refit mean and covariance on the ``H`` share of vectors with the smallest
-Mahalanobis distances, which never raises the determinant. A text is rejected if
+Mahalanobis distances, until no group's determinant falls any more (distances
+are compared by bins of 1/64 of their log; the bin that crosses the share counts
+whole). A text is rejected if
 its squared distance to the estimate exceeds ``CUT``, the far tail of a
 chi-square distribution, where distances are scaled down if even the median one
 is larger than that distribution's.
@@ -38,7 +40,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import SPACE_CLASS, let, materialize, table
+from granary.llm.common import SPACE_CLASS, let, materialize, measured, table
 
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
@@ -49,10 +51,11 @@ UNIT = 256
 #: Words with this mean length are added to each text's, so that short texts vary less.
 PRIOR_WORDS, PRIOR_LENGTH = 50, 5
 STATS = ("x_length", "x_symbols", "x_lines", "x_repeats")
-#: Least standard deviation of each statistic, in units. Repeats that pass the base rules stay under CUT on their own, as the base rules judge them.
-FLOOR = (12.0, 128.0, 300.0, 250.0)
+#: Least standard deviation of each statistic, in units; each is small enough for its statistic to reject a text alone.
+FLOOR = (12.0, 128.0, 64.0, 29.0)
 H = 0.75
-STEPS = 4
+#: Concentration steps go on while some group's log determinant falls by this much.
+FALL = 1e-4
 #: So many rows of the group above count for an estimate.
 PRIOR_ROWS = 60
 #: The group of all texts; languages are "null" or start with "=", and sources follow them after a separator.
@@ -65,8 +68,8 @@ BINS, LAST_BIN = 64, 2560
 #: What ``judge`` adds; input columns of these names are not kept.
 OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
-#: Low bits of a window's sort key that hold its position; the rest are hash.
-POSITION_BITS = 26
+#: Low bits of a window's sort key that hold its position, any that an array has; the rest are hash.
+POSITION_BITS = 31
 
 
 def words(text: Column) -> Column:
@@ -76,27 +79,31 @@ def words(text: Column) -> Column:
 def repeated_words(w: Column) -> Column:
     """How many words lie in three-word windows that occur twice or more. ``w`` must be bound by ``let``.
 
-    Windows are sorted by hash with their position in the low bits; neighbours
-    with equal hashes are compared word by word.
+    Windows are sorted by the high bits of a hash with their position in the low
+    bits; those that agree with a neighbour in the high bits may repeat. Only
+    these are sorted again, by their three words, where equal ones are neighbours
+    for certain.
     """
-    low = F.lit((1 << POSITION_BITS) - 1).cast("long")
-    high = F.lit(~((1 << POSITION_BITS) - 1)).cast("long")
+    low, high = F.lit((1 << POSITION_BITS) - 1).cast("long"), F.lit(~((1 << POSITION_BITS) - 1)).cast("long")
     n = F.size(w)
 
-    def starts(s: Column) -> Column:
-        def same(x: Column, j: Column) -> Column:
-            y = F.get(s, j)
-            a, b = x.bitwiseAND(low).cast("int"), y.bitwiseAND(low).cast("int")
-            equal = reduce(lambda p, q: p & q, [F.get(w, a + k) == F.get(w, b + k) for k in range(3)])
-            return F.coalesce((x.bitwiseAND(high) == y.bitwiseAND(high)) & equal, F.lit(False))
+    def either(s: Column, value, i: Column) -> Column:
+        """Whether the neighbour before or after has the same value."""
+        here = value(F.get(s, i))
+        return F.coalesce(here == value(F.get(s, i - 1)), F.lit(False)) | F.coalesce(here == value(F.get(s, i + 1)), F.lit(False))
 
-        return F.sort_array(F.filter(F.transform(s, lambda x, i: F.when(same(x, i - 1) | same(x, i + 1), x.bitwiseAND(low))), lambda p: p.isNotNull()))
+    def maybe(s: Column) -> Column:
+        at = F.transform(s, lambda x, i: F.when(either(s, lambda y: y.bitwiseAND(high), i), x.bitwiseAND(low).cast("int")))
+        return F.transform(F.filter(at, lambda p: p.isNotNull()), lambda p: F.struct(F.struct(F.get(w, p).alias("a"), F.get(w, p + 1).alias("b"), F.get(w, p + 2).alias("c")).alias("words"), p.alias("at")))
+
+    def repeats(t: Column) -> Column:
+        return F.sort_array(F.filter(F.transform(t, lambda x, i: F.when(either(t, lambda y: y["words"], i), x["at"])), lambda p: p.isNotNull()))
 
     def covered(p: Column) -> Column:
-        return F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, b: a + b)
+        return F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
 
     keys = F.transform(F.slice(w, F.lit(1), F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(high).bitwiseOR(i.cast("long")))
-    return let(F.sort_array(keys), lambda s: let(starts(s), covered))
+    return let(F.sort_array(keys), lambda s: let(F.sort_array(maybe(s)), lambda t: let(repeats(t), covered)))
 
 
 def count_chars(text: Column, chars: str) -> Column:
@@ -133,8 +140,8 @@ def with_vectors(counts: DataFrame) -> DataFrame:
         {
             "x_length": _units(F.log((F.col("word_chars") + PRIOR_WORDS * PRIOR_LENGTH) / (F.col("n_words") + PRIOR_WORDS))),
             "x_symbols": _units(F.log(1 + 1000 * share("n_symbols", "word_chars"))),
-            "x_lines": _units(F.log(1 + 100 * share("n_dup_lines", "n_lines"))),
-            "x_repeats": _units(F.log(1 + 100 * share("n_repeat_words", "n_words"))),
+            "x_lines": _units(-F.log(1 - share("n_dup_lines", "n_lines"))),
+            "x_repeats": _units(-F.log(1 - F.least(share("n_repeat_words", "n_words"), F.lit(MOST_REPEATED_PERCENT / 100)))),
         }
     )
 
@@ -165,6 +172,15 @@ def _names() -> list[str]:
     return ["n", *[f"m{i}" for i in d], *[f"c{i}{j}" for i in d for j in range(i + 1)]]
 
 
+def _root_columns(estimate: DataFrame) -> DataFrame:
+    """Adds the root of the covariance and ``logdet``."""
+    d = range(len(STATS))
+    out = estimate
+    for name, value in _cholesky({(i, j): F.col(f"c{i}{j}") for i in d for j in range(i + 1)}).items():
+        out = out.withColumn(name, value)
+    return out.withColumn("logdet", 2 * reduce(lambda a, b: a + b, [F.log(f"l{i}{i}") for i in d]))
+
+
 def _estimate(moments: DataFrame) -> DataFrame:
     """Mean and covariance, with floors, from sums: columns n, s0.., s00.. by grp."""
     d = range(len(STATS))
@@ -173,13 +189,10 @@ def _estimate(moments: DataFrame) -> DataFrame:
     return moments.select("grp", "n", *[mean[i].alias(f"m{i}") for i in d], *cov)
 
 
-def _rooted(estimate: DataFrame, *more: str) -> DataFrame:
+def _rooted(estimate: DataFrame) -> DataFrame:
     """Means and the root of the covariance."""
     d = range(len(STATS))
-    out = estimate
-    for name, value in _cholesky({(i, j): F.col(f"c{i}{j}") for i in d for j in range(i + 1)}).items():
-        out = out.withColumn(name, value)
-    return out.select("grp", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)], *more)
+    return _root_columns(estimate).select("grp", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)])
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -233,11 +246,23 @@ def _leaning(own: DataFrame, groups: DataFrame, values: list[str], prior: float)
     return placed.where("parent is null").select("grp", *values).unionByName(middle.select("grp", *values)).unionByName(low.select("grp", *values))
 
 
-def mcd_estimates(rows: DataFrame, h: float = H, steps: int = STEPS, prior: float = PRIOR_ROWS) -> DataFrame:
+def _concentrated(rows: DataFrame, h: float, fall: float) -> DataFrame:
+    """The estimates after concentration steps, group by group as far as the determinant falls; it can't rise but by the width of a bin, and such a step isn't taken."""
+    last = materialize(_start(rows).withColumns({"n": F.lit(0).cast("long"), "logdet": F.lit(None).cast("double")}).select("grp", *_names(), "logdet"), "estimate")
+    while True:
+        new = _root_columns(_step(rows, last, h)).select("grp", F.struct(*_names(), "logdet").alias("new"))
+        both = last.select("grp", F.struct(*_names(), "logdet").alias("old")).join(new, "grp")
+        falls = F.col("old.logdet").isNull() | (F.col("new.logdet") < F.col("old.logdet") - fall)
+        taken = both.select("grp", falls.alias("falls"), F.when(falls, F.col("new")).otherwise(F.col("old")).alias("e"))
+        last, seen = measured(taken.select("grp", "e.*", "falls"), "estimate", falls=F.count_if("falls"))
+        if not seen["falls"]:
+            return last.select("grp", *_names())
+        last = last.drop("falls")
+
+
+def mcd_estimates(rows: DataFrame, h: float = H, fall: float = FALL, prior: float = PRIOR_ROWS) -> DataFrame:
     """Robust mean, root of the covariance and distance scale of each ``grp`` of rows(grp, parent, STATS); ``parent`` names the group above, null for the topmost."""
-    estimate = materialize(_start(rows), "estimate")
-    for _ in range(steps):
-        estimate = materialize(_step(rows, estimate, h), "estimate")
+    estimate = _concentrated(rows, h, fall)
     groups = rows.groupBy("grp").agg(F.first("parent").alias("parent"))
     leaned = materialize(_rooted(_leaning(estimate, groups, _names()[1:], prior)), "leaned")
     counted = _distance(rows.join(leaned, "grp")).groupBy("grp", "parent", _bin(F.col("d2")).alias("v")).agg(F.count("*").alias("n"))

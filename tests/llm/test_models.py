@@ -32,7 +32,7 @@ def test_counts_equal_brute_force(spark, small, odd):
             assert r["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0])
 
 
-def brute_mcd(x, steps=quality_rules.STEPS, h=quality_rules.H, estimate=False):
+def brute_mcd(x, h=quality_rules.H, fall=quality_rules.FALL, estimate=False):
     """The same concentration steps in numpy, on one group: its distances, or (rows of the last step, mean, covariance)."""
     def low(v, q):
         return np.sort(v)[int(np.ceil(q * len(v))) - 1]
@@ -40,13 +40,58 @@ def brute_mcd(x, steps=quality_rules.STEPS, h=quality_rules.H, estimate=False):
     floor = np.array(quality_rules.FLOOR)
     mean = np.array([low(c, 0.5) for c in x.T], float)
     cov = np.diag([(1.4826 * low(np.abs(c - m), 0.5)) ** 2 for c, m in zip(x.T, mean, strict=True)]) + np.diag(floor**2)
-    for _ in range(steps + 1):
+    n, logdet = 0, np.inf
+    while True:
         d2 = np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean)
-        if _ == steps:
-            return (len(near), mean, cov) if estimate else d2
         bins = np.minimum(np.round(np.log1p(d2) * quality_rules.BINS), quality_rules.LAST_BIN)
         near = x[bins <= low(bins, h)]
-        mean, cov = near.mean(0), np.cov(near.T, bias=True) + np.diag(floor**2)
+        new = np.cov(near.T, bias=True) + np.diag(floor**2)
+        if not np.linalg.slogdet(new)[1] < logdet - fall:
+            return (n, mean, cov) if estimate else d2
+        n, mean, cov, logdet = len(near), near.mean(0), new, np.linalg.slogdet(new)[1]
+
+
+def test_every_statistic_can_reject_alone(spark):
+    rng = np.random.default_rng(11)
+    words = [a + b for a in ("lam", "riv", "sto", "clo", "gar", "pap") for b in ("per", "ine", "old", "ush", "ent", "ark", "ova", "ill")]
+    plain = lambda n=80: " ".join(rng.choice(words, n))
+    one = plain(60)
+    odd = {
+        900: " ".join(w * 3 for w in plain().split()),
+        901: plain().replace("a", "#").replace("o", "$"),
+        902: "\n".join(["ab", *(["z"] * 40), plain(300)]),
+        903: plain(70) + " " + " ".join(one.split()[:33]) + " " + " ".join(one.split()[:33]),
+    }
+    docs = spark.createDataFrame([(i, plain(), "en", "a") for i in range(200)] + [(i, t, "en", "a") for i, t in odd.items()], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, ["doc_id"]).collect()}
+    assert not any(got[i]["base_failed"] or got[i]["kept"] for i in odd)
+    assert got[902]["n_dup_lines"] == 39 and got[903]["n_repeat_words"] == 66
+    assert sum(not got[i]["kept"] for i in range(200)) == 0
+
+
+def test_repeats_survive_hash_collisions(spark):
+    """Windows whose sort keys agree in the hash bits, lying A, B, A: by brute force both A are repeats."""
+    from pyspark.sql import functions as F
+
+    high = F.shiftright(F.xxhash64(F.concat(F.lit("w"), F.col("id").cast("string")), F.lit("x"), F.lit("y")), quality_rules.POSITION_BITS)
+    pairs = spark.range(600_000).select("id", high.alias("h")).groupBy("h").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 1).limit(8).collect()
+    assert len(pairs) >= 3
+    fill = " ".join(f"f{i}" for i in range(60))
+    texts = []
+    for k, r in enumerate(pairs):
+        a, b = (f"w{i}" for i in sorted(r["ids"])[:2])
+        for one, two in ((a, b), (b, a)):
+            texts.append((2 * k, f"{one} x y m {two} x y n {one} x y {fill}"))
+            texts.append((2 * k, f"{one} x y m {two} x y n {one} x y m {two} x y {fill} {two} x y"))
+    got = quality_rules.with_counts(spark.createDataFrame(texts, "doc_id long, text string"), ["text"]).collect()
+    assert all(r["n_repeat_words"] == counts(r["text"])[4] >= 6 for r in got)
+
+
+def test_long_text_counts(spark):
+    rng = np.random.default_rng(0)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 60, 300_000)) + " tail of it"
+    got = quality_rules.with_counts(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["text"]).first()
+    assert got["n_repeat_words"] == counts(text)[4]
 
 
 def test_distances_equal_numpy(spark, small):
