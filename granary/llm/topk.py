@@ -11,9 +11,9 @@ its terms of the best the block could give bounds every score in the block.
    at 64 rows a block) and scores the ``FIRST`` best ones through their forward
    index. Its k-th score there is a threshold that the true k-th cannot be under.
 2. Only blocks whose bound reaches the threshold of some query of a group are
-   sent to that group. A block scores the queries whose bound reaches their k-th
-   score so far, which rises as blocks are scored; a bound equal to it still
-   counts, as ties go to smaller ids.
+   sent to that group. There each query goes through the blocks in the falling
+   order of its own bounds and stops where the next bound is under the k-th score
+   it has by then; a bound equal to it still counts, as ties go to smaller ids.
 
 Work is split into cells (a chunk of blocks, a group of queries near each
 other) of bounded size, each of which yields at most k rows a query; a window
@@ -21,9 +21,9 @@ merges the cells. The queries are a stated set, so queries times blocks is the
 work asked for; only blocks of rows move, never pairs.
 
 Edge cases: vectors that are null or hold a null, NaN or infinite component, and
-rows without id, take no part; components saturate at ``MOST`` after scaling, so
-that scores of up to 8,192 components fit a long; shorter vectors are padded with zeros to the
-longest; a query finds no row with its own id; repeated ids are separate rows,
+rows without id, take no part; inner products are exact, by Python's integers
+where longs could overflow on the way; a component or one of the k best scores
+that no long holds is an error; shorter vectors are padded with zeros to the longest; a query finds no row with its own id; repeated ids are separate rows,
 ranked next to each other, and separate queries with k rows each; fewer candidates than k give fewer rows; ties go to
 the smaller id; empty vectors score 0; an empty table gives an empty result.
 """
@@ -42,27 +42,50 @@ from granary.llm.common import materialize, table
 K = 20
 SCALE = 64
 QUERY_EVERY = 20
-MOST = 1 << 25
 BLOCK_ROWS = 64
+MOST_LONG = (1 << 63) - 1
 CENTRES = 128
 #: Blocks that set a query's first threshold.
 FIRST = 2
+#: Blocks of its own order that a query goes on by at once.
+STRIDE = 4
 #: Blocks in a chunk and queries in a group: what one task holds.
 CHUNK_BLOCKS, GROUP_QUERIES = 512, 4096
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): whole numbers floor(scale * x), within MOST, for sound vectors."""
+    """(vec_id, v): whole numbers floor(scale * x) for sound vectors; an error for one that no long holds."""
     x = F.col("embedding")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
     sound = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad)
-    return sound.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.greatest(F.lit(-float(MOST)), F.least(F.lit(float(MOST)), c.cast("double") * scale))).cast("long")).alias("v"))
+    scaled = lambda c: c.cast("double") * scale
+    whole = lambda c: F.when(F.abs(scaled(c)) < F.lit(2.0**63), F.floor(scaled(c)).cast("long")).otherwise(F.raise_error(F.lit("a component is beyond a long after scaling")).cast("long"))
+    return sound.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
-def exact_floats(*parts: np.ndarray) -> bool:
-    """Whether inner products of such rows are whole numbers that doubles hold exactly."""
-    most = [float(np.abs(p).max()) if p.size else 0.0 for p in parts]
-    return most[0] * most[1] * max(1, parts[0].shape[1]) < 2**53
+def exact_type(*parts: np.ndarray) -> type:
+    """What holds inner products of such rows exactly: doubles if all sums stay under 2^53, longs if under 2^63, else Python's integers."""
+    most = [max(int(p.max()), -int(p.min())) if p.size else 0 for p in parts]
+    reach = most[0] * most[1] * max(1, parts[0].shape[1])
+    return np.float64 if reach < 1 << 53 else np.int64 if reach < 1 << 63 else object
+
+
+def least_value(dtype: type):
+    """Under every score of this type."""
+    return -np.inf if dtype == np.float64 else np.iinfo(np.int64).min if dtype == np.int64 else -(1 << 200)
+
+
+def as_least(values: pd.Series, dtype: type) -> np.ndarray:
+    """Thresholds in the type of the scores; -MOST_LONG stands for none."""
+    v = values.to_numpy(np.int64)
+    return np.where(v == -MOST_LONG, least_value(dtype), v.astype(dtype))
+
+
+def as_longs(scores: np.ndarray) -> np.ndarray:
+    """Scores as longs; an error if one doesn't fit."""
+    if scores.dtype == object and len(scores) and not -(1 << 63) <= min(scores) <= max(scores) < 1 << 63:
+        raise OverflowError("an inner product is beyond a long")
+    return scores.astype(np.int64)
 
 
 def bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -82,51 +105,59 @@ def stacked(blobs: pd.Series, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.int64).reshape(-1, width)
 
 
-def score_blocks(asked: np.ndarray, own: np.ndarray, least: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def score_blocks(asked: np.ndarray, own: np.ndarray, least: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], bound: np.ndarray, k: int, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, score) of each query's k best rows in these (ids, rows) blocks, as far as they reach ``least``, its threshold; other rows than those of its own id.
 
-    Blocks come in the order of how far their best bound is above a threshold;
-    a block scores only the queries whose bound reaches what they have.
+    Every query goes through the blocks in the falling order of its own bounds,
+    ``stride`` of them at a time, until the next bound is under the k-th score it
+    has; queries that are at the same block are scored together.
     """
     least = least.copy()
-    low = np.iinfo(np.int64).min if asked.dtype == np.int64 else -np.inf
+    low = least_value(asked.dtype)
     tops = np.full((len(asked), k), low, asked.dtype)
+    order = np.argsort(-bound, axis=1, kind="stable")
+    active = np.arange(len(asked))
     at, ids, scores = [], [], []
-    for b in np.argsort(-(bound - least[:, None]).max(0), kind="stable"):
-        sel = np.flatnonzero(bound[:, b] >= least)
-        if not len(sel):
-            continue
-        block_ids, rows = blocks[b]
-        got = asked[sel] @ rows.T
-        got[block_ids[None] == own[sel, None]] = low
-        hit = (got >= least[sel, None]) & (got > low)
-        some = np.flatnonzero(hit.any(1))
-        if not len(some):
-            continue
-        q, r = np.nonzero(hit[some])
-        at.append(sel[some][q])
-        ids.append(block_ids[r])
-        scores.append(got[some][q, r])
-        sel = sel[some]
-        both = np.concatenate([tops[sel], got[some]], 1)
-        tops[sel] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-        least[sel] = np.maximum(least[sel], tops[sel].min(1))
+    for first in range(0, order.shape[1], stride):
+        ahead = order[active, first : first + stride]
+        reach = np.take_along_axis(bound[active], ahead, 1) >= least[active, None]
+        active, ahead, reach = active[reach[:, 0]], ahead[reach[:, 0]], reach[reach[:, 0]]
+        if not len(active):
+            break
+        queries, visited = np.repeat(active, ahead.shape[1])[reach.ravel()], ahead.ravel()[reach.ravel()]
+        by_block = np.argsort(visited, kind="stable")
+        visited, cuts = np.unique(visited[by_block], return_index=True)
+        for b, sel in zip(visited, np.split(queries[by_block], cuts[1:]), strict=True):
+            block_ids, rows = blocks[b]
+            got = asked[sel] @ rows.T
+            got[block_ids[None] == own[sel, None]] = low
+            hit = (got >= least[sel, None]) & (got > low)
+            some = np.flatnonzero(hit.any(1))
+            if not len(some):
+                continue
+            q, r = np.nonzero(hit[some])
+            at.append(sel[some][q])
+            ids.append(block_ids[r])
+            scores.append(got[some][q, r])
+            sel = sel[some]
+            both = np.concatenate([tops[sel], got[some]], 1)
+            tops[sel] = (np.sort(both, axis=1) if both.dtype == object else np.partition(both, both.shape[1] - k, axis=1))[:, -k:]
+            least[sel] = np.maximum(least[sel], tops[sel].min(1))
     if not at:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     at, ids, scores = np.concatenate(at), np.concatenate(ids), np.concatenate(scores)
-    order = np.lexsort((ids, -scores, at))
+    order = np.lexsort((ids, -scores, at)) if scores.dtype != object else np.array(sorted(range(len(at)), key=lambda i: (at[i], -scores[i], ids[i])))
     at, ids, scores = at[order], ids[order], scores[order]
     place = np.arange(len(at)) - np.searchsorted(at, at)
     keep = place < k
-    return at[keep], ids[keep], scores[keep].astype(np.int64)
+    return at[keep], ids[keep], as_longs(scores[keep])
 
 
 def arrays(blocks: pd.DataFrame, asked: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(queries, highest, lowest weights) as doubles if these are exact, else as whole numbers."""
+    """(queries, highest, lowest weights) in a type whose inner products are exact."""
     q, high, low = matrix(asked, width), stacked(blocks["high"], width), stacked(blocks["low"], width)
-    if exact_floats(q, np.maximum(np.abs(high), np.abs(low))):
-        return q.astype(np.float64), high.astype(np.float64), low.astype(np.float64)
-    return q, high, low
+    dtype = exact_type(q, np.concatenate([high, low]))
+    return q.astype(dtype), high.astype(dtype), low.astype(dtype)
 
 
 def forward(blocks: pd.DataFrame, width: int, dtype) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -212,7 +243,8 @@ class Search:
                 got = q[sel] @ rows.T
                 own = ids[None] == y["vec_id"].to_numpy()[sel, None]
                 for n, g, o in zip(y["number"].to_numpy()[sel], got, own, strict=True):
-                    out += [(n, int(v)) for v in np.sort(g[~o])[::-1][:k]]
+                    # A threshold may be lower than it could be: beyond a long it is the nearest one.
+                    out += [(n, min(MOST_LONG, max(-MOST_LONG, int(v)))) for v in np.sort(g[~o])[::-1][:k]]
             return pd.DataFrame(out, columns=["number", "score"], dtype="int64")
 
         pairs = wanted.join(self.blocks.select("block", "chunk"), "block")
@@ -229,7 +261,7 @@ class Search:
             if not len(x) or not len(y):
                 return pd.DataFrame(columns=["chunk", "grp", "block", "visits"])
             bound = bounds(*arrays(x, y["v"], width))
-            visits = (bound >= y["least"].to_numpy(np.int64)[:, None]).sum(0)
+            visits = (bound >= as_least(y["least"], bound.dtype)[:, None]).sum(0)
             out = pd.DataFrame({"chunk": x["chunk"].iloc[0], "grp": y["grp"].iloc[0], "block": x["block"], "visits": visits})
             return out[out["visits"] > 0]
 
@@ -238,7 +270,7 @@ class Search:
     def asked(self) -> DataFrame:
         """The queries with their thresholds; the least number for those without."""
         known = self.queries.join(self.thresholds(), "number", "left")
-        return materialize(known.withColumn("least", F.coalesce("least", F.lit(-(1 << 62)))), "asked")
+        return materialize(known.withColumn("least", F.coalesce("least", F.lit(-MOST_LONG))), "asked")
 
     def results(self) -> DataFrame:
         k, width = self.k, self.width
@@ -248,7 +280,7 @@ class Search:
         def search(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
             q, high, low = arrays(x, y["v"], width)
             own = y["vec_id"].to_numpy(np.int64)
-            at, ids, scores = score_blocks(q, own, y["least"].to_numpy(np.int64).astype(q.dtype), forward(x, width, q.dtype), bounds(q, high, low), k)
+            at, ids, scores = score_blocks(q, own, as_least(y["least"], q.dtype), forward(x, width, q.dtype), bounds(q, high, low), k)
             return pd.DataFrame({"number": y["number"].to_numpy()[at], "query_id": own[at], "vec_id": ids, "score": scores})
 
         sent = self.blocks.drop("chunk").join(needed.select("chunk", "grp", "block"), "block")
@@ -267,9 +299,10 @@ def op7_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = f"""
-WITH e AS MATERIALIZED (SELECT row_number() OVER () AS number, vec_id, list_transform(embedding, lambda x: floor(greatest(-{MOST}, least({MOST}, CAST(x AS DOUBLE) * {SCALE})))) AS v FROM embeddings
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS number, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {SCALE}) AS HUGEINT)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.number, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id % {QUERY_EVERY} = 0 AND q.vec_id <> c.vec_id),
+s AS (SELECT q.number, q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))), 0) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.vec_id % {QUERY_EVERY} = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= {K}
 """

@@ -251,10 +251,54 @@ def test_top_k_small_blocks(spark):
     assert topk.top_k(df.where("vec_id > 1000")).count() == 0
 
 
-def test_huge_components_saturate(spark):
-    df = spark.createDataFrame([(0, [3e38] * 64), (1, [-3e38] * 64), (2, [1.0] * 64), (3, [3e38] * 64)], "vec_id long, embedding array<float>")
-    top = 64 * topk.MOST**2
-    assert [(r["vec_id"], r["score"]) for r in topk.top_k(df).orderBy("rank").collect()] == [(3, top), (2, 64 * 64 * topk.MOST), (1, -top)]
+def test_huge_components_are_exact(spark):
+    """Scores beyond what doubles hold, and sums that leave the longs on the way; beyond a long there is an error."""
+    rows = [(20, [600000.0, 1.0]), (1, [600000.0, 2.0]), (2, [700000.0, 0.0]), (3, [-3e5, 2.0**-6])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(2, 1720320000000000), (1, 1474560000008192), (3, -737279999999936)]
+    big = float(2**40)
+    rows = [(20, [big, big, 1.0]), (1, [big, -big, 3.0]), (2, [big, -big, 2.0]), (4, [0.0, 0.0, -1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 3 * 4096), (2, 2 * 4096), (4, -4096)]
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.top_k(spark.createDataFrame([(20, [big]), (1, [big])], "vec_id long, embedding array<double>")).collect()
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.top_k(spark.createDataFrame([(20, [3e38]), (1, [1.0])], "vec_id long, embedding array<float>")).collect()
+
+
+def test_each_query_goes_by_its_own_bounds():
+    """A query scores exactly the blocks, in the order of its bounds, that can still reach its k-th score."""
+    rng = np.random.default_rng(2)
+    rows = np.concatenate([rng.integers(-3, 3, (16, 4)) + rng.integers(-30, 30, 4) for _ in range(40)]).astype(float)
+    q = rng.integers(-9, 9, (5, 4)).astype(float)
+    visited = []
+    parts = [rows[a : a + 16] for a in range(0, 640, 16)]
+    bound = topk.bounds(q, np.stack([r.max(0) for r in parts]), np.stack([r.min(0) for r in parts]))
+    seen = [topk.score_blocks(q[[i]], np.full(1, -1), np.full(1, -np.inf), [Logged((np.arange(16) + 16 * b, r), visited, b) for b, r in enumerate(parts)], bound[[i]], 3, stride=1) for i in range(5)]
+    at = 0
+    for i in range(5):
+        order, tops = np.argsort(-bound[i], kind="stable"), []
+        for b in order:
+            if len(tops) == 3 and bound[i, b] < tops[-1]:
+                break
+            assert visited[at] == b
+            at += 1
+            tops = sorted([*tops, *(parts[b] @ q[i])], reverse=True)[:3]
+        assert seen[i][2].tolist() == tops
+    assert at == len(visited) < 5 * 40
+
+
+class Logged(tuple):
+    """(ids, rows) that notes when it is unpacked."""
+
+    def __new__(cls, pair, log, b):
+        self = super().__new__(cls, pair)
+        self.log, self.b = log, b
+        return self
+
+    def __iter__(self):
+        self.log.append(self.b)
+        return super().__iter__()
 
 
 def test_bounds_hold():
