@@ -24,14 +24,17 @@ def hourly_spend(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return timed.groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("spend")).select(F.col("w.start").alias("hour_start"), "event_type", "n", "spend")
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "update") -> DataFrame:
+def run_once(stream: DataFrame, name: str, mode: str = "update", path: str | None = None) -> DataFrame:
     """Run a stream over what is there and return its last result per batch, written as a table by batch number.
 
     Batches are written by number, overwriting what a failed attempt left, so a
-    restart from the checkpoint gives each batch once.
+    restart from the checkpoint gives each batch once. Results and checkpoint
+    stand under ``path`` (a fresh folder if none is given); a later run with the
+    same path goes on where this one ended.
     """
     spark = stream.sparkSession
-    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    path = path or scratch_path(spark, name)
+    out, state = f"{path}/out", f"{path}/state"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
