@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.functions.ranges import in_hash_order, ranges_for
 from granary.operators.catalog import Catalog, Tables
 
 CATALOG = Catalog()
@@ -158,8 +159,8 @@ def fill_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in hash order until the total before a row reaches the target; bad rows are skipped and cost nothing."""
     d = Tables(spark, sf_dir).documents.select("doc_id", "source", "n_chars", F.contains("text", F.lit("!!")).alias("bad"), F.md5(F.concat_ws("|", F.lit("fill"), F.col("doc_id").cast("string")).cast("binary")).alias("h"))
     own = F.when(F.col("bad"), 0).otherwise(F.col("n_chars"))
-    before = F.sum(own).over(Window.partitionBy("source").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - own
-    return d.withColumn("before", before).select("doc_id", F.when(F.col("bad"), "contaminated").when(F.col("before") >= 20000, "fill:not_needed").alias("drop_reason"))
+    placed = in_hash_order(d, ["source"], F.col("h"), "doc_id", ranges_for(d.count()), before={"before": own})
+    return placed.select("doc_id", F.when(F.col("bad"), "contaminated").when(F.col("before") >= 20000, "fill:not_needed").alias("drop_reason"))
 
 
 @CATALOG.query("SELECT conv_id, turn, role, 1.0 / count(*) OVER (PARTITION BY conv_id) AS weight FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY md5(concat_ws('|', 'node', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR))), turn) AS k FROM conversations) WHERE k <= 3")

@@ -141,12 +141,15 @@ def option_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("p_partkey", F.array_join(F.transform("s", lambda z: z["x"]), " ").alias("shuffled"), F.array_position(F.transform("s", lambda z: z["pos"]), 1).cast("long").alias("gold_at"))
 
 
-@CATALOG.query("SELECT a.item_id AS a, b.item_id AS b, levenshtein(regexp_replace(a.text, '[^ -~]', '', 'g'), regexp_replace(b.text, '[^ -~]', '', 'g')) AS d FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id AND substr(a.text, 1, 3) = substr(b.text, 1, 3)")
+#: DuckDB's distance counts bytes: letters of the tables beyond ASCII become single bytes that the texts don't have.
+_BYTES = "translate({}, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', '" + "".join(map(chr, [*range(1, 9), 11, 12, *range(14, 25)])) + "')"
+
+
+@CATALOG.query(f"WITH q AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) SELECT conv_id, turn, levenshtein({_BYTES.format('text')}, {_BYTES.format('prev')}) AS d FROM q WHERE prev IS NOT NULL")
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distance of whole texts, in ASCII, of items whose first three characters (the blocking key) are equal."""
-    b = Tables(spark, sf_dir).benchmark.select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("t"), F.substring("text", 1, 3).alias("k"))
-    pairs = b.select(F.col("item_id").alias("a"), F.col("t").alias("ta"), "k").join(b.select(F.col("item_id").alias("b"), F.col("t").alias("tb"), "k"), "k").where("a < b")
-    return pairs.select("a", "b", F.levenshtein("ta", "tb").cast("long").alias("d"))
+    """Edit distance of each turn to the one before, over whole texts and all characters."""
+    q = Tables(spark, sf_dir).conversations.withColumn("prev", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("prev is not null")
+    return q.select("conv_id", "turn", F.levenshtein("text", "prev").cast("long").alias("d"))
 
 
 @CATALOG.query("SELECT conv_id, turn, upper(NULLIF(regexp_extract(text, '\\(?([A-Z])\\)?\\.?\\s*$', 1), '')) AS letter FROM conversations WHERE NOT regexp_matches(text, '(?i)answer\\s*[:=]')")
@@ -156,19 +159,27 @@ def answer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", T.answer_letter(F.col("text")).alias("letter"))
 
 
-@CATALOG.query("WITH q AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) SELECT conv_id, turn, instr(regexp_replace(text, '[\t\n\f\r ]+', '', 'g'), substr(regexp_replace(prev, '[\t\n\f\r ]+', '', 'g'), 1, 12)) AS found FROM q WHERE prev IS NOT NULL")
+_BARE = "regexp_replace({}, '[\t\n\f\r ]+', '', 'g')"
+
+
+@CATALOG.query(f"""
+WITH q AS (SELECT conv_id, turn, {_BARE.format('text')} AS bare, {_BARE.format("string_split(text, '.')[1] || '.'")} AS quote FROM conversations)
+SELECT a.conv_id, a.turn, min(b.turn) AS found_turn, arg_min(instr(b.bare, a.quote), b.turn) AS found_at, count(*) AS n_turns FROM q a JOIN q b ON a.conv_id = b.conv_id AND contains(b.bare, a.quote) GROUP BY a.conv_id, a.turn
+""")
 def quote_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the start of the last turn is quoted, white space aside; 0 if it is not."""
-    q = Tables(spark, sf_dir).conversations.withColumn("prev", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("prev is not null")
-    return q.select("conv_id", "turn", F.expr(r"instr(regexp_replace(text, '[\t\n\f\r ]+', ''), substr(regexp_replace(prev, '[\t\n\f\r ]+', ''), 1, 12))").cast("long").alias("found"))
+    """Where each turn's whole first sentence is said in its conversation, white space aside: the first turn that has it, the place there, and how many have it."""
+    bare = lambda c: F.regexp_replace(c, r"[\t\n\f\r ]+", "")
+    q = Tables(spark, sf_dir).conversations.select("conv_id", "turn", bare(F.col("text")).alias("bare"), F.concat(bare(F.substring_index("text", ".", 1)), F.lit(".")).alias("quote"))
+    said = q.select("conv_id", F.col("turn").alias("in_turn"), F.col("bare").alias("text"))
+    hits = q.select("conv_id", "turn", "quote").join(said, "conv_id").withColumn("at", F.call_function("instr", "text", "quote")).where("at > 0")
+    return hits.groupBy("conv_id", "turn").agg(F.min("in_turn").alias("found_turn"), F.min_by("at", "in_turn").cast("long").alias("found_at"), F.count("*").alias("n_turns"))
 
 
-@CATALOG.query("SELECT event_type, json_extract_string(props, '$.' || k) AS v, count(*) AS n FROM events, (SELECT unnest(json_keys(props)) AS k FROM events ORDER BY 1 LIMIT 1) GROUP BY ALL")
+@CATALOG.query("SELECT event_type, k AS key, json_extract_string(props, '$.\"' || k || '\"') AS v, count(*) AS n FROM (SELECT event_type, props, unnest(json_keys(props)) AS k FROM events) GROUP BY ALL")
 def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of the first JSON key's values."""
+    """Counts of the values of every JSON key."""
     e = Tables(spark, sf_dir).events
-    first = e.select(F.explode(F.json_object_keys("props")).alias("k")).agg(F.min("k").alias("k"))
-    return e.join(first).groupBy("event_type", F.get(F.map_values(F.map_filter(F.from_json("props", "map<string,string>"), lambda a, _: a == F.col("k"))), F.lit(0)).alias("v")).agg(F.count("*").alias("n"))
+    return e.select("event_type", F.explode(F.from_json("props", "map<string,string>")).alias("key", "v")).groupBy("event_type", "key", "v").agg(F.count("*").alias("n"))
 
 
 @CATALOG.query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(CAST(l_extendedprice AS DOUBLE) * (1 - CAST(l_discount AS DOUBLE))), 2) AS revenue FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY CUBE (l_returnflag, l_linestatus)")

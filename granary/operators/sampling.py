@@ -138,11 +138,15 @@ def family_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("lang is not null").select("doc_id", "lang", (F.col("k") <= k).alias("val"))
 
 
-@CATALOG.query("WITH d AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) AS k FROM documents) SELECT f.lang AS fold, count(*) AS n_train, count(DISTINCT d.source) AS n_sources FROM (SELECT DISTINCT lang FROM documents) f JOIN d ON d.lang <> f.lang AND d.k <= 100 GROUP BY f.lang")
+@CATALOG.query("WITH q AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS r FROM documents), d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY r, source) AS k FROM q) SELECT f.lang AS fold, count(*) AS n_train, count(DISTINCT d.source) AS n_sources FROM (SELECT DISTINCT lang FROM documents) f JOIN d ON d.lang <> f.lang AND d.k <= 100 GROUP BY f.lang")
 def lofo_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leave one group out: each fold trains on the other groups, each capped. The join is on the few group names."""
+    """Leave one group out: each fold trains on the other groups, each capped, its question groups (sources) taking turns. The join is on the few group names.
+
+    Ranks beyond the cap go inside each source, whose limit goes before the shuffle, so the second window holds ``cap`` rows a source at most.
+    """
     d = Tables(spark, sf_dir).documents.select("doc_id", "lang", "source").where("lang is not null")
-    capped = d.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("source", "doc_id"))).where("k <= 100")
+    turns = d.withColumn("r", F.row_number().over(Window.partitionBy("lang", "source").orderBy("doc_id"))).where("r <= 100")
+    capped = turns.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("r", "source"))).where("k <= 100")
     names = d.select("lang").distinct().withColumn("all", F.collect_set("lang").over(Window.partitionBy()))
     folds = names.select("lang", F.explode("all").alias("fold")).where("fold <> lang")
     return capped.join(folds, "lang").groupBy("fold").agg(F.count("*").alias("n_train"), F.count_distinct("source").alias("n_sources"))

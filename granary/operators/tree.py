@@ -164,17 +164,17 @@ def node_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).conversations.groupBy("conv_id").agg(F.concat_ws(",", *rules).alias("failures"))
 
 
-@CATALOG.query("SELECT conv_id, turn, unnest(['claim', 'negation']) AS kind, unnest([text, 'It is not so that ' || text]) AS text FROM conversations WHERE turn = 0")
+@CATALOG.query("SELECT conv_id, turn, unnest(['claim', 'negation']) AS kind, unnest([text, 'It is not so that ' || text]) AS text FROM conversations")
 def claim_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each claim and its negation as matched rows."""
     pair = F.array(F.struct(F.lit("claim").alias("kind"), F.col("text").alias("t")), F.struct(F.lit("negation").alias("kind"), F.concat(F.lit("It is not so that "), F.col("text")).alias("t")))
-    return Tables(spark, sf_dir).conversations.where("turn = 0").select("conv_id", "turn", F.explode(pair).alias("p")).select("conv_id", "turn", "p.kind", F.col("p.t").alias("text"))
+    return Tables(spark, sf_dir).conversations.select("conv_id", "turn", F.explode(pair).alias("p")).select("conv_id", "turn", "p.kind", F.col("p.t").alias("text"))
 
 
-@CATALOG.query("SELECT conv_id, turn, sum(size) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) // 400 AS pack FROM (SELECT conv_id, turn, least(length(text), 400) AS size FROM conversations)")
+@CATALOG.query("SELECT conv_id, turn, sum(size) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) // 400 AS pack FROM (SELECT conv_id, turn, length(text) AS size FROM conversations)")
 def pack_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of an item dealt into packs by running length."""
-    size = F.least(F.length("text"), F.lit(400))
+    """Nodes of an item dealt into packs by running length; a longer node leaves packs empty."""
+    size = F.length("text")
     run = F.sum(size).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
     return Tables(spark, sf_dir).conversations.select("conv_id", "turn", F.floor(run / 400).alias("pack"))
 

@@ -79,7 +79,7 @@ def test_mcnemar(spark):
 def test_pairs_needed(spark):
     need = lambda p, d: one(spark, X.pairs_needed(F.lit(p), F.lit(d)))
     assert need(0.2, 0.1) == math.ceil((1.959964 * math.sqrt(0.2) + 0.841621 * math.sqrt(0.19)) ** 2 / 0.01)
-    assert need(0.2, 0.0) is None and need(0.2, 0.5) is None and need(0.25, -0.5) == math.ceil((1.959964 / 2) ** 2 / 0.25)
+    assert need(0.2, 0.0) is None and need(0.2, 0.5) is None and need(0.25, -0.5) is None
 
 
 def level_by_bisection(total, weights, limits):
@@ -244,11 +244,12 @@ def test_lsh_drop_equals_all_pairs(spark, tmp_path, monkeypatch):
     s = {r[0]: np.array(r[1]) for r in df.select("doc_id", dedup.minhash(F.col("text"))).collect()}
     src = {i: x or "" for i, _, x in rows}
     want = {}
-    for b in s:
-        near = [a for a in s if a < b and src[a] != src[b] and (s[a] == s[b]).sum() >= 0.8 * 64]
+    for b in sorted(s):
+        near = [a for a in s if a < b and a not in want and src[a] != src[b] and (s[a] == s[b]).sum() >= 0.8 * 64]
         if near:
             want[b] = min(near)
-    assert len(want) > 30
+    # A dropped row drops nothing: some rows have dropped partners only.
+    assert len(want) > 30 and any(b not in want and any(a in want and src[a] != src[b] and (s[a] == s[b]).sum() >= 0.8 * 64 for a in s if a < b) for b in s)
     for tile in (1024, 7):
         monkeypatch.setattr(dedup, "BAND_TILE", tile)
         assert {r["doc_id"]: r["like"] for r in dedup.lsh_near_dup_drop(spark, folder).collect()} == want
