@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
 import math
-import re
-from collections import Counter
 from statistics import NormalDist
 
 import pytest
@@ -17,60 +14,38 @@ from tests.compare import connect, same
 from tests.test_units import one
 
 
-def plain_words(text):
-    """Words and negations, said once more in Python."""
-    out, negations = [], 0
-    for w in re.findall(r"[a-z0-9]+(?:'[a-z]+)?|[=<>+*/-]", (text or "").lower().replace("’", "'")):
-        if w.endswith("n't") or w in N.NEGATIONS:
-            negations += 1
-        elif w == "without":
-            negations += 1
-            out.append("with")
-        elif w not in N.LIGHT_WORDS:
-            cut = next(((e, i) for e, i, least in N.ENDINGS if w.endswith(e) and len(w) >= least), ("", ""))
-            out.append(w[: len(w) - len(cut[0])] + cut[1])
-    return out, negations
-
-
-def plain_pair(a, b):
-    (x, m), (y, n) = plain_words(a), plain_words(b)
-    common = sum((Counter(x) & Counter(y)).values())
-    if (m == 0) == (n == 0) or common < 2 or len(x) + len(y) - 2 * common > 1:
-        return None
-    ratio = difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
-    return round(ratio, 3) if ratio >= N.LEAST_OVERLAP else None
-
-
+#: Pairs of texts with the overlap worked out by hand; None: no near-negations.
 CASES = [
-    ("The cat is on the mat", "The cat isn't on the mat"),
-    ("Tom walked home", "Tom did not walk home"),
-    ("Tea with sugar", "Tea without sugar"),
-    ("b times d is e", "d times b is not e"),
-    ("red green blue", "blue green not red"),
-    ("one two three four", "one two three not five six"),
-    ("studies show it", "no study shows that"),
-    ("not this cat here", "not that cat here"),
-    ("not", "yes"),
-    ("", "no"),
-    (None, "not a thing"),
-    ("the dog ran and the dog sat", "the dog never ran and sat"),
+    ("The cat is on the mat", "The cat isn't on the mat", 1.0),  # cat on mat twice, one negation
+    ("Tom walked home", "Tom did not walk home", 1.0),  # "did" is light, "walked" loses its ending
+    ("Tea with sugar", "Tea without sugar", 1.0),  # "without" is a negated "with"
+    ("the dog ran and the dog sat", "the dog never ran and sat", 0.889),  # 4 of 5 and 4 words in order: 8/9
+    ("Two doors stay open all day", "Two doors never stay open all", 0.909),  # 5 of 6 and 5: 10/11
+    ("b times d is e", "d times b is not e", None),  # the same words, but two in order only: 4/8
+    ("red green blue", "blue green not red", None),  # one in order: 2/6
+    ("one two three four", "one two three not five six", None),  # three words are not shared
+    ("studies show it", "no study shows that", None),  # 4/5 is under the least overlap
+    ("not this cat here", "not that cat here", None),  # both negated
+    ("cats sleep", "cats eat", None),  # none negated
+    ("not", "yes", None),
+    ("", "no", None),
+    (None, "not a thing", None),
 ]
 
 
-def test_negation_pairs_equal_python(spark):
-    rows = [(i, a, b) for i, (a, b) in enumerate(CASES + [(b, a) for a, b in CASES])]
+def test_negation_pairs_by_hand(spark):
+    rows = [(i, a, b) for i, (a, b, _) in enumerate(CASES)] + [(100 + i, b, a) for i, (a, b, _) in enumerate(CASES)]
     got = {r["i"]: r["overlap"] for r in N.negation_pairs_of(spark.createDataFrame(rows, "i int, a string, b string"), "a", "b").collect()}
-    want = {i: s for i, a, b in rows if (s := plain_pair(a, b)) is not None}
-    assert got == want and {0, 1, 2} <= set(got) and not {4, 7, 8, 9} & set(got)
+    want = {i: v for i, (_, _, v) in enumerate(CASES) if v}
+    assert got == want | {100 + i: v for i, v in want.items()}
 
 
-def test_negation_pairs_of_the_table(spark, small):
-    turns = sorted((r["conv_id"], r["turn"], r["text"]) for r in spark.read.parquet(f"{small}/conversations.parquet").collect())
-    line = [(c, t, x.split("\n")[0]) for c, t, x in turns]
-    against = {(r["conv_id"], r["turn"], r["a"]): r["b"] for r in spark.createDataFrame(line, "conv_id long, turn long, a string").withColumn("b", N.negated(F.col("a"))).collect()}
-    want = {(c, t, "negation", s) for c, t, x in line if against[c, t, x] and (s := plain_pair(x, against[c, t, x])) is not None}
-    want |= {(c, t, "next", s) for (c, t, x), (d, _, y) in zip(line, line[1:]) if c == d and (s := plain_pair(x, y)) is not None}
-    assert {tuple(r) for r in N.negation_pairs(spark, small).collect()} == want
+def test_negation_pairs_of_all_lines(spark, tmp_path):
+    """Every line of a turn meets its own negation and the line after it, which may stand in the next turn."""
+    turns = [(1, 0, "user", "Water is wet today\nThe two doors are shut\nno verb here"), (1, 1, "assistant", "The two doors are not shut\nThe two doors are shut"), (2, 0, "user", None), (3, 0, "user", "It never rains here")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    got = {tuple(r) for r in N.negation_pairs(spark, f"file://{tmp_path}").collect()}
+    assert got == {(1, 0, 1, "negation", 1.0), (1, 0, 2, "negation", 1.0), (1, 1, 1, "negation", 1.0), (1, 1, 1, "next", 1.0), (1, 1, 2, "negation", 1.0)}
 
 
 def test_negated(spark):
@@ -88,10 +63,7 @@ def test_wrong_values(spark):
     assert {w(v, 0, [v]) for v in range(1, 40)}.isdisjoint({0, None})
 
 
-def test_kinds_and_forms(spark):
-    k = lambda t: one(spark, N.lead_kind(F.lit(t).cast("string")))
-    assert [k(t) for t in ("Rome is a city in Italy.", "Ann (born 1970) sang. It is a city.", "Acme was one of the oldest companies", "He ran.", "", None)] == ["place", "person", None, None, None, None]
-    assert k("He ran. Rome is a city.") is None
+def test_forms_of_answers(spark):
     c = lambda t: one(spark, N.answer_class(F.lit(t).cast("string")))
     assert [c(t) for t in ("1999", "2024-01-31", "3 May 1999", "1,200.5", "$7", "no", "New York", "in the end", "", None)] == ["year", "date", "date", "number", "number", "yes_no", "name", "phrase", "phrase", None]
 
