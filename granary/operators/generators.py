@@ -1,4 +1,4 @@
-"""Generators of reasoning items, as table functions over a range of numbers: item i depends on (seed, i) alone.
+"""Generators of reasoning items, as table functions over orders: an item depends on (seed, order key, number of lines) alone.
 
 Cases are made in executors from a seeded generator per row, so any row can be
 made again anywhere. Every generator solves what it makes by an independent
@@ -20,19 +20,21 @@ from granary.functions.hashing import hash_number, hash_rank_key
 from granary.operators.catalog import Catalog, Tables
 
 CATALOG = Catalog()
-ITEMS = 500
 
 
-def generate(spark: SparkSession, n: int, make: Callable[[random.Random, int], list[tuple]], schema: str, seed: int = 1) -> DataFrame:
-    """The rows of ``make(generator, i)`` for i below n."""
+def generate(spark: SparkSession, sf_dir: str, make: Callable[[random.Random, int, int], list[tuple]], schema: str, seed: int = 1) -> DataFrame:
+    """The rows of ``make(generator, key, size)`` for every order: its key seeds the generator, its number of lines is the case's size."""
     names = [p.strip().split(" ")[0] for p in schema.split(", ")]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [r for i in b["id"] for r in make(random.Random(f"{seed}|{i}"), int(i))]
+            out = [r for i, n in zip(b["i"], b["n"], strict=True) for r in make(random.Random(f"{seed}|{i}"), int(i), int(n))]
             yield pd.DataFrame(out, columns=names)
 
-    return spark.range(n).mapInPandas(rows, schema)
+    t = Tables(spark, sf_dir)
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    cases = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("i"), F.coalesce("n", F.lit(0)).alias("n"))
+    return cases.mapInPandas(rows, schema)
 
 
 def solve_knights(people: int, statements: list[tuple[int, int, bool]]) -> list[int]:
@@ -40,8 +42,8 @@ def solve_knights(people: int, statements: list[tuple[int, int, bool]]) -> list[
     return [m for m in range(1 << people) if all(((m >> s) & 1) == (((m >> a) & 1) == int(k)) for s, a, k in statements)]
 
 
-def make_knights(rng: random.Random, i: int) -> list[tuple]:
-    people = rng.randint(3, 6)
+def make_knights(rng: random.Random, i: int, size: int) -> list[tuple]:
+    people = 3 + size % 4
     while True:
         roles = rng.getrandbits(people)
         said = [(s, (a := rng.choice([x for x in range(people) if x != s])), bool((roles >> a & 1) == (roles >> s & 1))) for s in range(people) for _ in range(2)]
@@ -57,15 +59,29 @@ def make_knights(rng: random.Random, i: int) -> list[tuple]:
 @CATALOG.query()
 def knights_and_knaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Puzzles with one solution, checked over all role masks."""
-    return generate(spark, ITEMS, make_knights, "item_id long, people int, statements string, roles int")
+    return generate(spark, sf_dir, make_knights, "item_id long, people int, statements string, roles int")
 
 
-@CATALOG.query("SELECT count(*) AS n_models, min(m) AS first FROM (SELECT m FROM range(4096) r(m) WHERE ((m >> 0) & 1) = CAST(((m >> 1) & 1) = 0 AS INT) AND ((m >> 1) & 1) = CAST(((m >> 2) & 1) = 1 AS INT) AND ((m >> 3) & 1) = CAST(((m >> 0) & 1) = 1 AS INT))")
+@CATALOG.query("""
+WITH l AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_linestatus) AS k, CAST(l_linestatus = 'O' AS INT) AS same FROM lineitem),
+f AS (SELECT o, k, count(*) OVER (PARTITION BY o) AS n, coalesce(sum(1 - same) OVER (PARTITION BY o ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 AS role, sum(1 - same) OVER (PARTITION BY o) % 2 AS odd FROM l)
+SELECT o AS l_orderkey, CAST(max(n) AS INT) AS people, CAST(CASE WHEN max(odd) = 1 THEN 0 ELSE 2 END AS BIGINT) AS n_models, CASE WHEN max(odd) = 0 THEN CAST(least(sum(role << (k - 1)), (1 << max(n)) - 1 - sum(role << (k - 1))) AS BIGINT) END AS first FROM f GROUP BY o
+""")
 def truth_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Models of a small set of statements by enumeration of bit masks in plain SQL."""
-    bit = lambda k: F.shiftright("id", k).bitwiseAND(1)
-    ok = (bit(0) == (bit(1) == 0).cast("int")) & (bit(1) == (bit(2) == 1).cast("int")) & (bit(3) == (bit(0) == 1).cast("int"))
-    return spark.range(4096).where(ok).agg(F.count("*").alias("n_models"), F.min("id").alias("first"))
+    """How many role masks satisfy each order's statements, and the first, by enumeration in array functions.
+
+    Line k says of the next one, and the last of the first, that it is a knight if it is open, else a knave; a statement is true iff its
+    speaker is a knight. All masks of an order are tried in turn by one fold, which keeps two numbers.
+    """
+    w = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_linestatus")
+    o = Tables(spark, sf_dir).lineitem.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(w)), lambda x: x["l_linestatus"] == "O").alias("says"))
+    n = F.size("says")
+    bit = lambda m, k: F.shiftright(m, k).bitwiseAND(1) == 1 if isinstance(k, int) else F.call_function("getbit", m, k) == 1
+    holds = lambda m: F.forall(F.transform("says", lambda knight, k: F.struct(knight.alias("knight"), bit(m, k).alias("a"), bit(m, F.pmod(k + 1, n)).alias("b"))), lambda s: (s["a"] == (s["b"] == s["knight"])))
+    start = F.named_struct(F.lit("n"), F.lit(0).cast("long"), F.lit("first"), F.lit(None).cast("long"))
+    step = lambda s, m: F.when(holds(m), F.named_struct(F.lit("n"), s["n"] + 1, F.lit("first"), F.coalesce(s["first"], m))).otherwise(s)
+    masks = F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), n).cast("long") - 1)
+    return o.select("l_orderkey", n.alias("people"), F.aggregate(masks, start, step).alias("m")).select("l_orderkey", "people", F.col("m.n").alias("n_models"), F.col("m.first").alias("first"))
 
 
 def rule_levels(rules: list[tuple[tuple[str, ...], str]]) -> dict[str, int]:
@@ -99,10 +115,10 @@ def forward_chain(facts: set[str], rules: list[tuple[tuple[str, ...], str]], clo
     return known
 
 
-def make_rules(rng: random.Random, i: int) -> list[tuple]:
+def make_rules(rng: random.Random, i: int, size: int) -> list[tuple]:
     atoms = [f"p{k}" for k in range(8)]
     facts = set(rng.sample(atoms, 2))
-    rules = [(tuple(rng.sample(atoms, rng.randint(1, 2))), rng.choice(atoms)) for _ in range(8)]
+    rules = [(tuple(rng.sample(atoms, rng.randint(1, 2))), rng.choice(atoms)) for _ in range(4 + size)]
     closure = forward_chain(facts, rules)
     target = rng.choice(atoms)
     other = facts ^ {rng.choice(atoms)}
@@ -112,7 +128,7 @@ def make_rules(rng: random.Random, i: int) -> list[tuple]:
 @CATALOG.query()
 def rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule sets with a counterfactual twin each, labelled by forward chaining."""
-    return generate(spark, ITEMS, make_rules, "item_id long, kind string, facts string, rules string, target string, holds boolean")
+    return generate(spark, sf_dir, make_rules, "item_id long, kind string, facts string, rules string, target string, holds boolean")
 
 
 def eval_chain(gates: list[tuple[str, int, int]], inputs: list[bool]) -> list[bool]:
@@ -122,9 +138,9 @@ def eval_chain(gates: list[tuple[str, int, int]], inputs: list[bool]) -> list[bo
     return values
 
 
-def make_chain(rng: random.Random, i: int) -> list[tuple]:
+def make_chain(rng: random.Random, i: int, size: int) -> list[tuple]:
     inputs = [rng.random() < 0.5 for _ in range(4)]
-    gates = [(rng.choice(("and", "or", "xor")), rng.randrange(4 + k), rng.randrange(4 + k)) for k in range(rng.randint(3, 9))]
+    gates = [(rng.choice(("and", "or", "xor")), rng.randrange(4 + k), rng.randrange(4 + k)) for k in range(2 + size)]
     final = eval_chain(gates, inputs)[-1]
     pivotal = [k for k in range(4) if eval_chain(gates, [v != (j == k) for j, v in enumerate(inputs)])[-1] != final]
     return [(i, len(gates), "".join("01"[v] for v in inputs), ";".join(f"{o}({a},{b})" for o, a, b in gates), final, ",".join(map(str, pivotal)))]
@@ -133,7 +149,7 @@ def make_chain(rng: random.Random, i: int) -> list[tuple]:
 @CATALOG.query()
 def decision_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boolean circuits with their value and the inputs that decide it."""
-    return generate(spark, ITEMS, make_chain, "item_id long, depth int, inputs string, gates string, value boolean, pivotal string")
+    return generate(spark, sf_dir, make_chain, "item_id long, depth int, inputs string, gates string, value boolean, pivotal string")
 
 
 def run_program(steps: list[tuple[str, int, int]], start: list[Fraction], swap: tuple[int, str] | None = None) -> list[Fraction]:
@@ -146,9 +162,9 @@ def run_program(steps: list[tuple[str, int, int]], start: list[Fraction], swap:
     return values
 
 
-def make_numeric(rng: random.Random, i: int) -> list[tuple]:
+def make_numeric(rng: random.Random, i: int, size: int) -> list[tuple]:
     start = [Fraction(rng.randint(2, 30)) for _ in range(3)]
-    steps = [(rng.choice("+-*/"), rng.randrange(3 + k), rng.randrange(3 + k)) for k in range(rng.randint(2, 5))]
+    steps = [(rng.choice("+-*/"), rng.randrange(3 + k), rng.randrange(3 + k)) for k in range(2 + size % 4)]
     gold = run_program(steps, start)[-1]
     slips = {run_program(steps, start, (k, o))[-1] for k in range(len(steps)) for o in "+-*/" if o != steps[k][0]} - {gold}
     return [(i, ";".join(f"{o}({a},{b})" for o, a, b in steps), ",".join(map(str, start)), str(gold), "|".join(sorted(map(str, slips))[:5]))]
@@ -157,7 +173,7 @@ def make_numeric(rng: random.Random, i: int) -> list[tuple]:
 @CATALOG.query()
 def numeric_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arithmetic programs in exact fractions, with wrong values from swapped operators as distractors."""
-    return generate(spark, ITEMS, make_numeric, "item_id long, program string, inputs string, gold string, distractors string")
+    return generate(spark, sf_dir, make_numeric, "item_id long, program string, inputs string, gold string, distractors string")
 
 
 def replay(moves: list[int], fault: int | None = None) -> tuple[int, bool]:
@@ -166,9 +182,9 @@ def replay(moves: list[int], fault: int | None = None) -> tuple[int, bool]:
     return total, total % 2 == 0
 
 
-def make_trajectory(rng: random.Random, i: int) -> list[tuple]:
+def make_trajectory(rng: random.Random, i: int, size: int) -> list[tuple]:
     agents = ("planner", "coder", "checker")
-    moves = [2 * rng.randint(0, 9) for _ in range(rng.randint(4, 9))]
+    moves = [2 * rng.randint(0, 9) for _ in range(3 + size)]
     fault = rng.randrange(len(moves))
     if not replay(moves)[1] or replay(moves, fault)[1]:
         return []
@@ -178,7 +194,7 @@ def make_trajectory(rng: random.Random, i: int) -> list[tuple]:
 @CATALOG.query()
 def simulated_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agent logs with one injected fault that replay shows to decide the failure."""
-    return generate(spark, ITEMS, make_trajectory, "uid long, step int, agent string, value int, at_fault boolean")
+    return generate(spark, sf_dir, make_trajectory, "uid long, step int, agent string, value int, at_fault boolean")
 
 
 @CATALOG.query("SELECT vec_id, round(a, 6) AS surface, round(b, 6) AS structural, CAST('0x' || substr(md5('bias|' || CAST(vec_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < least(1.0, b / a) AS kept FROM (SELECT vec_id, 1 / (1 + exp(-4 * CAST(embedding[1] AS DOUBLE))) AS a, 1 / (1 + exp(-4 * CAST(embedding[2] AS DOUBLE))) AS b FROM embeddings WHERE embedding IS NOT NULL)")

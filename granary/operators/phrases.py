@@ -46,10 +46,12 @@ def vocabulary(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_DOCS)
     """(key, phrase, n_docs) of the word sequences of two words or more that ``least`` documents have and no function word starts or ends."""
     stop = F.array(*[F.lit(w) for w in FUNCTION_WORDS])
     words = docs.select("doc_id", T.tokens(F.col("text")).alias("w"))
-    grams = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.slice("w", i, F.lit(n)))).otherwise(F.array().cast("array<array<string>>"))
-    found = words.select(F.explode(F.array_distinct(F.flatten(F.array(*[grams(n) for n in range(2, longest + 1)])))).alias("g"))
-    ends = ~F.array_contains(stop, F.get("g", F.lit(0))) & ~F.array_contains(stop, F.element_at("g", -1))
-    return found.where(ends).groupBy("g").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least).select(F.xxhash64("g").alias("key"), F.array_join("g", " ").alias("phrase"), "n_docs")
+    open_ = lambda i: ~F.array_contains(stop, F.get("w", i))
+    starts = lambda n: F.filter(F.sequence(F.lit(0), F.size("w") - n), lambda i: open_(i) & open_(i + (n - 1)))
+    grams = lambda n: F.when(F.size("w") >= n, F.transform(starts(n), lambda i: F.array_join(F.slice("w", i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    found = words.select(F.explode(F.array_distinct(F.flatten(F.array(*[grams(n) for n in range(2, longest + 1)])))).alias("phrase"))
+    often = found.groupBy("phrase").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least)
+    return often.select(F.xxhash64(F.split("phrase", " ")).alias("key"), "phrase", "n_docs")
 
 
 def sent_if_few_bytes(frame: DataFrame, most: int = SENT_BYTES) -> DataFrame:

@@ -14,7 +14,7 @@ from granary.functions import text as T
 from granary.operators import generators as G
 from granary.operators import sampling as S
 from granary.operators import stats as X
-from granary.operators.dedup import PRIME, coefficients, minhash
+from granary.operators.dedup import PRIME, coefficients, minhash, minhash_in_columns
 from granary.operators.filters import first_reason, licence_max
 from granary.operators.overlap import jaccard_join
 from granary.operators.tree import node_depths
@@ -157,8 +157,9 @@ def test_minhash_equals_python(spark):
     hashes = [zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(3)]
     a, b = coefficients()
     want = [min((x * h + y) % PRIME for h in hashes) for x, y in zip(a, b, strict=True)]
-    assert one(spark, minhash(F.lit(text))) == want
-    assert one(spark, minhash(F.lit("too few words"))) is None
+    for made in (minhash, minhash_in_columns):
+        assert one(spark, made(F.lit(text))) == want
+        assert one(spark, made(F.lit("too few words"))) is None and one(spark, made(F.lit(None).cast("string"))) is None
 
 
 def test_jaccard_join_equals_brute_force(spark):
