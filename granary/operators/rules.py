@@ -82,16 +82,16 @@ def slips(expressions: DataFrame, keys: list[str], expr: str) -> DataFrame:
     t = exact.tokens(F.col(expr))
     pairs = {"+": "-", "-": "+", "*": "/", "/": "*"}
     tokens = expressions.select(*keys, t.alias("t"), exact.expression(F.col(expr)).alias("right")).where("right.problem is null")
-    each = tokens.select(*keys, "t", "right", F.posexplode("t").alias("place", "token"))
-    before = F.get("t", F.col("place") - 1)
+    each = tokens.select(*keys, "t", "right", F.posexplode("t").alias("at", "token"))
+    before = F.get("t", F.col("at") - 1)
     binary = F.col("token").isin(*pairs) & before.isNotNull() & ~before.isin("+", "-", "*", "/", "(")
     other = F.translate("token", "".join(pairs), "".join(pairs.values()))
     number = F.col("token").rlike(r"^[\d.]")
-    moved = lambda d: (F.col("token").try_cast("decimal(38,6)") + d).cast("string")
+    moved = lambda d: F.regexp_replace(F.regexp_replace((F.col("token").try_cast("decimal(38,6)") + d).cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     some = F.when(binary, F.array(F.struct(F.lit("swap").alias("kind"), other.alias("x")))).when(number, F.array(F.struct(F.lit("up").alias("kind"), moved(1).alias("x")), F.struct(F.lit("down").alias("kind"), moved(-1).alias("x"))))
-    made = each.select(*keys, "t", "right", "place", F.explode(some).alias("s")).where("s.x is not null and not startswith(s.x, '-')")
-    text = F.array_join(F.transform("t", lambda x, i: F.when(i == F.col("place"), F.col("s.x")).otherwise(x)), "")
-    run = made.select(*keys, "right", F.col("s.kind").alias("kind"), (F.col("place") + 1).alias("place"), text.alias("slip")).withColumn("e", exact.expression(F.col("slip")))
+    made = each.select(*keys, "t", "right", "at", F.explode(some).alias("s")).where("s.x is not null and (s.kind = 'swap' or not startswith(s.x, '-'))")
+    text = F.array_join(F.transform("t", lambda x, i: F.when(i == F.col("at"), F.col("s.x")).otherwise(x)), "")
+    run = made.select(*keys, "right", F.col("s.kind").alias("kind"), (F.col("at") + 1).alias("place"), text.alias("slip")).withColumn("e", exact.expression(F.col("slip")))
     wrong = (F.col("e.num") != F.col("right.num")) | (F.col("e.den") != F.col("right.den"))
     return run.where(F.col("e.problem").isNotNull() | wrong).select(*keys, "kind", "place", "slip", exact.fraction_text(F.col("e.num"), F.col("e.den")).alias("value"), "e.problem")
 
