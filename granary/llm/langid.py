@@ -9,8 +9,8 @@ all bits against its codeword, each weighted by how well that classifier knows
 that language in training; the least loss wins. If the runner-up's loss is close,
 the text is flagged ambiguous.
 
-Training takes at most ``SAMPLE`` texts, shared evenly among the languages, the
-ones with the smallest hash of id and text. Everything else runs over all rows:
+Training takes at most ``SAMPLE`` texts, shared evenly among the languages (the
+``LANGUAGES`` most frequent ones), the ones with the smallest hash of id and text. Everything else runs over all rows:
 the fitted arrays are of fixed size for a set of languages and broadcast; whole
 texts are read where they lie, without a shuffle.
 
@@ -39,6 +39,8 @@ from granary.llm.common import held_out, table
 #: log2 of the features for each length of n-gram.
 BITS = 12
 SAMPLE = 3000
+#: So many languages are learnt at most, those with the most rows (equal ones by name); texts of others get one of these.
+LANGUAGES = 300
 #: Up to so many languages the code has all splits.
 ALL_SPLITS = 6
 ROUNDS, RATE, DECAY = 60, 30.0, 1e-4
@@ -116,9 +118,11 @@ def predict(text: str | None, model: dict) -> tuple[str, float, bool]:
     return str(model["languages"][order[0]]), float(share[order[0]]), len(order) > 1 and bool(share[order[1]] > CLOSE)
 
 
-def training_rows(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
+def training_rows(docs: DataFrame, limit: int = SAMPLE, languages: int = LANGUAGES) -> DataFrame:
     """At most ``limit`` (id, text, name) rows in all, evenly by language: each language's texts with the smallest hash of id and text.
 
+    Only the ``languages`` most frequent values of lang take part (fewer, if ``limit`` is smaller), so dirty values don't reach the driver.
+
     A row is known by id, language and text hash, so that ids with several texts
     or languages give no other rows than the chosen ones. Hashes far beyond a
     language's share go before the ranking, by its count, which keeps the ranked
@@ -127,7 +131,8 @@ def training_rows(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """
     keyed = docs.select("doc_id", "lang", F.xxhash64("text", F.lit(23)).alias("text_hash"), "text")
     usable = keyed.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = [(r["lang"], r["n"]) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    often = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(min(languages, limit))
+    counts = [(r["lang"], r["n"]) for r in often.collect()]
     each = max(1, limit // max(1, len(counts)))
     spark = docs.sparkSession
     # A share of all hashes that holds ``each`` rows and more than ten standard deviations besides.

@@ -273,3 +273,59 @@ def test_ftrl_equals_plain_updates():
             z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / a * w
             n[i] += g * g
     assert np.allclose(model.all_weights(), [weight(i) for i in range(size)])
+
+
+def test_langid_decoding_equals_plain_loops():
+    texts = ["the cat sat here", "a dog is there", "le chat est la", "un chien est ici", "der hund ist da", "die katze war hier"] * 3
+    model = langid.fit(texts, ["en", "en", "fr", "fr", "de", "de"] * 3)
+    assert model["languages"].tolist() == ["de", "en", "fr"] and np.allclose(model["trust"].sum(1), 1)
+    for text in ["the dog", "le chien", "die", "x", "la katze est here"]:
+        index, value = langid.features(text)
+        dense = np.zeros(2 << langid.BITS)
+        for i, v in zip(index, value, strict=True):
+            dense[i] = v
+        loss = []
+        for k in range(3):
+            total = 0.0
+            for bit in range(model["code"].shape[1]):
+                f = float(model["bias"][bit]) + sum(float(dense[i]) * float(model["w"][i, bit]) for i in index)
+                total += model["trust"][k, bit] * np.log1p(np.exp(-model["code"][k, bit] * f)) * model["code"].shape[1]
+            loss.append(total)
+        share = np.exp(-np.array(loss)) / np.exp(-np.array(loss)).sum()
+        best = sorted(range(3), key=lambda k: loss[k])
+        got = langid.predict(text, model)
+        assert got[0] == model["languages"][best[0]] and got[1] == pytest.approx(share[best[0]], abs=1e-5) and got[2] == (share[best[1]] > langid.CLOSE)
+
+
+def test_langid_fit_descends_to_plain_gradient_steps():
+    """The weights after the fixed rounds against the same steps taken text by text and bit by bit."""
+    texts, names = ["ab ba", "abab", "xy yx", "xyxy x"], ["p", "p", "q", "q"]
+    model = langid.fit(texts, names)
+    code = model["code"]
+    feats = [dict(zip(*(a.tolist() for a in langid.features(t)), strict=True)) for t in texts]
+    for bit in range(code.shape[1]):
+        w, v, b, vb = Counter(), Counter(), 0.0, 0.0
+        for _ in range(langid.ROUNDS):
+            grad, gb = Counter(), 0.0
+            for x, n in zip(feats, names, strict=True):
+                y = code["pq".index(n), bit]
+                pull = -y / 4 / (1 + np.exp(y * (sum(w[i] * c for i, c in x.items()) + b)))
+                for i, c in x.items():
+                    grad[i] += pull * c
+                gb += pull
+            for i in {*w, *grad}:
+                v[i] = 0.9 * v[i] + grad[i] + langid.DECAY * w[i]
+            vb = 0.9 * vb + gb
+            for i in v:
+                w[i] -= langid.RATE * 0.1 * v[i]
+            b -= langid.RATE * 0.1 * vb
+        assert all(abs(model["w"][i, bit] - w[i]) < 2e-3 * max(1, abs(w[i])) for i in w) and abs(model["bias"][bit] - b) < 2e-3 * max(1, abs(b))
+
+
+def test_langid_learns_a_bounded_number_of_languages(spark):
+    rows = [(i, f"text {i}", f"l{i % 40:02d}" if i < 400 else "l07") for i in range(1, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.training_rows(docs, 100, 5).collect()
+    names = {r["name"] for r in got}
+    assert len(names) == 5 and "l07" in names
+    assert len(got) <= 100
