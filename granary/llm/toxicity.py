@@ -44,7 +44,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
