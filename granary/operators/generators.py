@@ -10,7 +10,6 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Iterator
 from fractions import Fraction
-from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
