@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of ``granary.operators`` that register queries with ``Catalog``.
-MODULES: tuple[str, ...] = ("overlap", "scoring", "stats", "sampling", "dedup", "filters", "relational", "tree", "io", "generators", "streams", "mixtures", "readouts", "nodes", "records", "debias", "solutions", "phrases", "controls", "converters", "rules")
+MODULES: tuple[str, ...] = ("overlap", "scoring", "stats", "sampling", "dedup", "filters", "relational", "tree", "io", "generators", "streams", "mixtures", "readouts", "nodes", "records", "debias", "solutions", "phrases", "controls", "converters", "rules", "contrasts")
 
 
 def _catalogs():
