@@ -40,6 +40,10 @@ from granary.sources.scratch import written
 CATALOG = Catalog()
 
 LEAST_FRAMES = 2
+#: What may fill a frame.
+WORD = "^[a-z]{3,}$"
+#: Bits of a word's hash in each of the two sums that tell frames of two words from frames of more, which pass for such with a chance of 2^-48; sums of 2^38 words fit a long.
+PART_BITS = 24
 ENDS = "[.!?\\n]+"
 ARTICLES = ("a", "an")
 
@@ -58,13 +62,37 @@ def digest(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def two_fill(a: Column, b: Column, n: Column, low: Column, high: Column) -> Column:
+    """Whether ``n`` values with the least ``a`` and the largest ``b`` are these two only, by the sums of their parts: p times a's and n - p times b's, for one whole p."""
+    parts = [(part(a), part(b), total) for part, total in ((low_part, low), (high_part, high))]
+    (d, e), (d2, e2) = [(x - y, total - n * y) for x, y, total in parts]
+    p = F.when(d != 0, F.try_divide(e, d)).otherwise(F.try_divide(e2, d2)).cast("long")
+    return (a != b) & (p > 0) & (p < n) & (p * d == e) & (p * d2 == e2)
+
+
+def low_part(h: Column) -> Column:
+    return h.bitwiseAND(F.lit((1 << PART_BITS) - 1).cast("long"))
+
+
+def high_part(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - PART_BITS)
+
+
 def opposites(stated: DataFrame, least: int = LEAST_FRAMES) -> DataFrame:
-    """(word, opposite, n_frames) of statements(w), in both directions."""
-    places = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))), lambda l, i: F.struct(l.alias("l"), F.get("w", i + 1).alias("m"), F.get("w", i + 2).alias("r")))
-    fills = stated.select(F.explode(F.filter(places, lambda p: p["m"].rlike("^[a-z]{3,}$"))).alias("p")).select("p.*").groupBy("l", "r", "m").agg(F.count("*").alias("_n"))
-    rivals = fills.groupBy("l", "r").agg(F.count("*").alias("k"), F.min("m").alias("a"), F.max("m").alias("b")).where("k = 2")
-    pairs = rivals.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    sides = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other")), F.struct(F.col("b").alias("word"), F.col("a").alias("other")))
+    """(word, opposite, n_frames) of statements(w), in both directions.
+
+    Words and frames are hashes of 64 bits until pairs are left. A frame's state is five numbers that add up, whatever
+    fills it, so the words are shuffled once, a hot frame as one row a task.
+    """
+    places = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))), lambda l, i: F.when(F.get("w", i + 1).rlike(WORD), F.struct(F.xxhash64(l, F.get("w", i + 2)).alias("frame"), F.xxhash64(F.get("w", i + 1)).alias("h"))))
+    fills = stated.select(F.explode(F.array_compact(places)).alias("p")).select("p.*")
+    h = F.col("h")
+    sums = fills.groupBy("frame").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("n"), F.sum(low_part(h)).alias("low"), F.sum(high_part(h)).alias("high"))
+    pairs = sums.where(two_fill(*[F.col(c) for c in ("a", "b", "n", "low", "high")])).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    names = stated.select(F.explode("w").alias("word")).where(F.col("word").rlike(WORD)).distinct().select(F.xxhash64("word").alias("h"), "word")
+    named = lambda side, name: names.select(F.col("h").alias(side), F.col("word").alias(name))
+    pairs = pairs.join(named("a", "x"), "a").join(named("b", "y"), "b").select("x", "y", "n")
+    sides = F.array(F.struct(F.col("x").alias("word"), F.col("y").alias("other")), F.struct(F.col("y").alias("word"), F.col("x").alias("other")))
     best = pairs.select(F.explode(sides).alias("s"), "n").groupBy("s.word").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("s.other").alias("other"))).alias("x")).select("word", F.col("x.other").alias("opposite"), (-F.col("x.n")).alias("n_frames"))
     back = best.select(F.col("word").alias("opposite"), F.col("opposite").alias("word"))
     return best.join(back, ["word", "opposite"])

@@ -57,6 +57,20 @@ def test_opposites_equal_plain_loop(spark, seed):
         assert want and {tuple(r) for r in C.opposites(C.statements(df), least).collect()} == want
 
 
+def test_two_fill(spark):
+    """The sums tell two values from one and from more, also where one of their parts is the same."""
+    rng = np.random.default_rng(9)
+    pool = [int(x) for x in rng.integers(-(2**63), 2**63, 12)] + [5, 6, 5 + (1 << 60), 6 + (1 << 60), -1, 0, 2**63 - 1, -(2**63)]
+    rows = [(g, h) for g in range(400) for h in rng.choice(np.array(pool, dtype=np.int64), int(rng.integers(1, 4))) for h in [int(h)] * int(rng.integers(1, 9))]
+    h = F.col("h")
+    sums = spark.createDataFrame(rows, "g int, h long").groupBy("g").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("n"), F.sum(C.low_part(h)).alias("low"), F.sum(C.high_part(h)).alias("high"))
+    got = {r["g"] for r in sums.where(C.two_fill(*[F.col(c) for c in ("a", "b", "n", "low", "high")])).collect()}
+    values = defaultdict(set)
+    for g, x in rows:
+        values[g].add(x)
+    assert got == {g for g, v in values.items() if len(v) == 2}
+
+
 @pytest.mark.parametrize("repeat", [1, 50])
 def test_opposite_edits(spark, repeat):
     claims = ["An old cat saw a hot stove. Hot or cold, who knows?", "The hot soup", "It was hot"] * repeat + [None, ""]
