@@ -9,7 +9,10 @@ log-odds.
 
 Training takes at most ``SAMPLE`` labelled texts (the ones with the smallest
 hash of their id), in one task, in hash order, for ``EPOCHS`` passes of
-per-coordinate FTRL-proximal updates with L1 and L2 terms. Everything else runs
+per-coordinate FTRL-proximal updates with L1 and L2 terms. That task gets no
+texts: their vectors are made by many tasks and come in pieces of bounded size,
+which it keeps in a file of its own between passes, so its memory doesn't grow
+with the length of the texts. Everything else runs
 over all rows: the weights, an array of fixed size, are broadcast, and texts are
 scored where they lie, without a shuffle.
 
@@ -23,12 +26,12 @@ learnt from; without any labels all scores are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from tempfile import TemporaryFile
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import held_out, table
@@ -38,6 +41,8 @@ SAMPLE = 6000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.1, 1e-4
 THRESHOLD = 0.3
+#: Entries of a vector in one row at most, and bytes of vectors in one batch, about.
+PIECE, BATCH_BYTES = 1024, 4 << 20
 _MASK = (1 << BITS) - 1
 
 
@@ -60,11 +65,11 @@ class Hashes(dict):
 _HASHES = Hashes()
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(indexes, values) of the sparse vector of a text."""
+def feature_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(indexes, counts) of the features of a text."""
     words = (text or "").split()
     if not words:
-        return np.array([crc32(b"\x00empty") & _MASK]), np.ones(1)
+        return np.array([crc32(b"\x00empty") & _MASK]), np.ones(1, np.int64)
     both = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     one, shape = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
     pair = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]) >> np.uint64(20)
@@ -76,8 +81,18 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     else:
         index = np.flatnonzero(counts)
         n = counts[index]
-    value = np.sqrt(n)
-    return index, value / np.sqrt(n.sum())
+    return index, n
+
+
+def values(n: np.ndarray) -> np.ndarray:
+    """The vector's values for its features' counts."""
+    return np.sqrt(n) / np.sqrt(n.sum())
+
+
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(indexes, values) of the sparse vector of a text."""
+    index, n = feature_counts(text)
+    return index, values(n)
 
 
 def sigmoid(z: float) -> float:
@@ -120,44 +135,78 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) ->
     return known.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("id", "text", "label")
 
 
+def vector_pieces(sample: DataFrame) -> DataFrame:
+    """(place, id, label, piece, pairs): the vectors of the sample's texts, each in rows of at most ``PIECE`` pairs (index, count) of 32-bit integers; ``place`` is the hash that orders the training."""
+    taken = sample.select(F.crc32(F.col("id").cast("string").cast("binary")).alias("place"), "id", "label", "text")
+    kind = {f.name: f.dataType.simpleString() for f in taken.schema}
+
+    def made(batch: pa.RecordBatch, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        at, piece, pairs = zip(*rows, strict=True)
+        own = [batch.column(c).take(pa.array(at, pa.int32())) for c in range(3)]
+        return pa.RecordBatch.from_arrays([*own, pa.array(piece, pa.int32()), pa.array(pairs, pa.binary())], names=["place", "id", "label", "piece", "pairs"])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for at, text in enumerate(batch.column(3)):
+                pairs = np.stack(feature_counts(text.as_py()), axis=1).astype("<i4")
+                rows += [(at, piece, pairs[start : start + PIECE].tobytes()) for piece, start in enumerate(range(0, len(pairs), PIECE))]
+                size += pairs.nbytes
+                if size > BATCH_BYTES:
+                    yield made(batch, rows)
+                    rows, size = [], 0
+            if rows:
+                yield made(batch, rows)
+
+    return taken.mapInArrow(apply, f"place long, id {kind['id']}, label {kind['label']}, piece int, pairs binary")
+
+
 def train(sample: DataFrame, epochs: int = EPOCHS) -> np.ndarray:
     """The weights, bias last."""
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(order=[crc32(str(i).encode()) for i in rows["id"]]).sort_values(["order", "id", "label"], kind="stable")
-        data = [(*features(t), int(y)) for t, y in zip(rows["text"], rows["label"], strict=True)]
-        model = Ftrl()
-        for _ in range(epochs):
-            for index, value, y in data:
-                model.learn(index, value, y)
-        return pd.DataFrame({"weights": [model.all_weights().astype("<f4").tobytes()]})
-
-    got = sample.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fit, "weights binary").collect()
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[list[int]] = []  # label and bytes of each, in order
+        with TemporaryFile() as vectors:
+            for batch in batches:
+                for label, piece, pairs in zip(*[batch.column(c) for c in range(3)], strict=True):
+                    if piece.as_py() == 0:
+                        texts.append([int(label.as_py()), 0])
+                    texts[-1][1] += vectors.write(pairs.as_buffer())
+            model = Ftrl()
+            for _ in range(epochs):
+                vectors.seek(0)
+                for label, size in texts:
+                    index, n = np.frombuffer(vectors.read(size), "<i4").astype(np.int64).reshape(-1, 2).T
+                    model.learn(index, values(n), label)
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([model.all_weights().astype("<f4").tobytes()], pa.binary())], names=["weights"])
+
+    ordered = vector_pieces(sample).repartition(1).sortWithinPartitions("place", "id", "label", "piece").select("label", "piece", "pairs")
+    got = ordered.mapInArrow(fit, "weights binary").collect()
     return np.frombuffer(bytes(got[0]["weights"]), "<f4").astype(np.float64) if got else np.zeros(_MASK + 2)
 
 
-def _scored(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """(kept, score): the columns ``keep`` as one struct, so that no name of theirs meets ours."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    taken = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), "text")
-    out = "kept " + taken.schema["kept"].dataType.simpleString() + ", score double"
+def score_of(spark: SparkSession, text: Column, weights: np.ndarray) -> Column:
+    """The scores of a column of texts. Python gets the texts once and gives numbers back; no other column goes there."""
+    shared = spark.sparkContext.broadcast(weights.astype(np.float32))
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = shared.value.astype(np.float64)
-        for batch in batches:
+        for texts in batches:
             got = []
-            for text in batch.column(1):
-                index, value = features(text.as_py())
+            for t in texts:
+                index, value = features(t.as_py())
                 got.append(sigmoid(float(w[index] @ value + w[-1])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["kept", "score"])
+            yield pa.array(got, pa.float64())
 
-    return taken.mapInArrow(apply, out)
+    return apply(text)
 
 
 def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs``, and ``score`` (in place of a column of that name)."""
     keep = [c for c in keep if c != "score"]
-    return _scored(docs, weights, keep).select(*[F.col("kept")[c].alias(c) for c in keep], "score")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], score_of(docs.sparkSession, F.col("text"), weights).alias("score"))
 
 
 def quality_weights(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> np.ndarray:
@@ -166,8 +215,7 @@ def quality_weights(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) ->
 
 def good_documents(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, with their columns; the model learns from ``learn_from``."""
-    scored = _scored(docs, quality_weights(learn_from, labels), docs.columns)
-    return scored.where(F.col("score") >= threshold).select(*[F.col("kept")[c].alias(c) for c in docs.columns])
+    return docs.where(score_of(docs.sparkSession, F.col("text"), quality_weights(learn_from, labels)) >= threshold)
 
 
 def op8_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

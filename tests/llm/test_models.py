@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
+import threading
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import psutil
 import pytest
 
 from granary.llm import langid, quality_model, quality_rules
@@ -251,6 +254,48 @@ def test_quality_sample_is_bounded(spark):
     assert len(quality_model.labelled_sample(docs, labels, 2).collect()) == 2
 
 
+def test_training_memory_does_not_grow_with_texts(spark):
+    """Vectors of whole texts, all in the training task at once, took 793 MB of a worker here."""
+    n, words = 500, 30_000
+    sample = spark.range(n).selectExpr("id", f"array_join(transform(sequence(1, {words}), i -> cast(id * {words} + i as string)), ' ') as text", "cast(id % 2 as int) as label")
+    first, most, done = {}, {}, threading.Event()
+
+    def watch():
+        while not done.wait(0.05):
+            for p in psutil.Process().children(recursive=True):
+                with contextlib.suppress(psutil.Error):
+                    if "pyspark.daemon" in " ".join(p.cmdline()):
+                        now = p.memory_info().rss / 1e6
+                        most[p.pid] = max(most.get(p.pid, 0), now - first.setdefault(p.pid, now))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        weights = quality_model.train(sample, epochs=1)
+    finally:
+        done.set()
+        watcher.join()
+    assert np.count_nonzero(weights) and max(most.values()) < 350
+
+
+def test_training_equals_whole_vectors_in_order(spark):
+    texts = {i: " ".join(f"w{i % 7}x{k * k % (500 + 97 * i)}" for k in range(400 * i)) for i in range(8)}
+    rows = [(i, t or None, i % 2) for i, t in texts.items()]
+    model = quality_model.Ftrl()
+    for _ in range(2):
+        for _, t, y in sorted(rows, key=lambda r: crc32(str(r[0]).encode())):
+            model.learn(*quality_model.features(t), y)
+    got = quality_model.train(spark.createDataFrame(rows, "id long, text string, label int"), epochs=2)
+    assert np.array_equal(got, model.all_weights().astype("<f4").astype(np.float64))
+
+
+def test_good_documents_send_texts_once(spark, odd):
+    """Python gets the texts alone and gives numbers back; texts and other columns stay where they are."""
+    labels = spark.createDataFrame([(1, 1), (6, 0)], "doc_id long, quality int")
+    plan = quality_model.good_documents(odd, odd, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+
+
 def test_ftrl_equals_plain_updates():
     """The sparse vectorised updates against the rule written out for one coordinate at a time."""
     rng = np.random.default_rng(4)
