@@ -165,3 +165,29 @@ def test_solutions_without_notes(spark):
 def test_numbers(spark, text):
     got = spark.createDataFrame([(text,)], "t string").select(exact.numbers(F.col("t")).alias("n")).first()["n"]
     assert got == [str(Fraction(x)) for x in re.findall(r"\d+(?:\.\d*)?|\.\d+", text.replace(",2", "2"))]
+
+
+MIXED = [*PROBLEMS, None, "50%*80", "1,000*$2", "1.25x4", "6÷4", "--5", "-+-2", "2--3", "-2*-3", "3*-2+1", ".5+1.", "0/5", "-(-4)/-6", "17*84197.04", "1" * 30 + "/7", "9" * 37 + "+1", "0" * 50 + "1", "1." + "0" * 40, "(1+2)3/0", "1/0+"]
+
+
+def test_batches_equal_columns(spark):
+    n, d, bad = exact.evaluate(MIXED)
+    got = [(None, None, exact.PROBLEMS[b]) if b else (x, y, None) for x, y, b in zip(n, d, bad, strict=True)]
+    assert got == [tuple(None if v is None else int(v) if not isinstance(v, str) else v for v in r) for r in run(spark, MIXED)]
+    texts = [t for t in MIXED if t]
+    want = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", exact.numbers(F.col("t")).alias("n")).orderBy("i").collect()
+    assert [exact.numbers_in(t) for t in texts] == [r["n"] for r in want]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(TREES, min_size=1, max_size=40))
+def test_batches_equal_fractions(trees):
+    both = [value(t) for t in trees]
+    for (text, v), n, d, b in zip(both, *exact.evaluate([t for t, _ in both]), strict=True):
+        assert (exact.PROBLEMS[b] == "zero") if v is None else b == 0 and (n, d) == (v.numerator, v.denominator), text
+
+
+def test_batches_keep_large_values_exact():
+    # The fraction in lowest terms is -495351309480261594566382483112837 / 401234564290123200, 33 digits: large, not a wrong fraction.
+    text = "0*-12%-1/1234567890123456-1234567890123456-12%+12%/3.25"
+    assert exact.PROBLEMS[exact.evaluate([text])[2][0]] == "large"
