@@ -188,6 +188,7 @@ def numbers(text: Column) -> Column:
 _PLAIN = str.maketrans(dict.fromkeys(map(ord, " \t\n\x0b\f\r,$\x85\u2028\u2029")) | {ord("x"): "*", ord("X"): "*", ord("×"): "*", ord("÷"): "/"})
 _USUAL = re.compile(r"[0-9.+*/()%-]*")
 _NUMBER = re.compile(r"[0-9]+(?:\.[0-9]*)?|\.[0-9]+")
+_TOKEN = re.compile(r"[0-9]+(?:\.[0-9]*)?|\.[0-9]+|.", re.DOTALL)
 PROBLEMS = (None, "empty", "symbol", "operand", "operator", "parenthesis", "percent", "zero", "large")
 _CODE = {p: k for k, p in enumerate(PROBLEMS)}
 #: Digits of a whole decimal, and of a part of a reduced fraction.
@@ -202,6 +203,11 @@ def shape_of(text: str | None) -> tuple[str, list[str]]:
     return _NUMBER.sub("0", text), _NUMBER.findall(text)
 
 
+def tokens_of(text: str | None) -> list[str]:
+    """``tokens`` of one text."""
+    return _TOKEN.findall((text or "").translate(_PLAIN))
+
+
 def digits_of(token: str) -> tuple[int | None, int]:
     """A decimal number's digits and its decimal places; no digits where 38 don't hold them."""
     if len(token) < 39:
