@@ -268,3 +268,27 @@ def test_budget_survives_a_restart(spark, tmp_path):
     assert calls.budget_stop(spark, stream(), 15.0, path) == (spent, n)
     rest, m = calls.budget_stop(spark, stream(), 1000.0, f"file://{tmp_path}/other")
     assert (rest, m) == (33.0, 3)
+
+
+def test_closest_equals_all_pairs(spark, monkeypatch):
+    """The nearest sets in parts, against every pair; before, all pairs that share a rare member were shuffled."""
+    import random
+
+    from granary.operators import overlap
+
+    rng = random.Random(5)
+    base = [rng.sample(range(400), rng.randint(1, 40)) for _ in range(40)]
+    sets = [[*base[k % 40][: rng.randint(1, 40)], *rng.sample(range(400, 500), rng.randint(0, 4))] for k in range(160)] + [[], [7]]
+    rows = [(k, s) for k, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "doc_id long, s array<long>")
+    left, right = df.where("doc_id % 3 <> 0"), df.where("doc_id % 3 = 0")
+    for members, threshold in ((4_000_000, 0.6), (300, 0.6), (300, 0.9), (300, 0.2)):
+        monkeypatch.setattr(overlap, "SENT_MEMBERS", members)
+        got = {r["doc_id"]: (r["like_id"], r["jaccard"]) for r in overlap.closest(left, right, threshold).collect()}
+        want = {}
+        for a, s in rows:
+            met = [(len({*s} & {*t}) / len({*s} | {*t}), b) for b, t in rows if a % 3 and not b % 3 and s and t]
+            if near := [x for x in met if x[0] >= threshold]:
+                want[a] = (min(b for _, b in near), max(j for j, _ in near))
+        assert got == want and len(got) > 3
+    assert overlap.closest(left, right.limit(0), 0.6).count() == 0
