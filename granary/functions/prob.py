@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,3 +63,20 @@ def bin_left_closed(conf: Column, bins: int = 10) -> Column:
 def log_factorial(n: Column) -> Column:
     """ln n! by summation."""
     return F.aggregate(F.sequence(F.lit(0), n.cast("int")), F.lit(0.0), lambda a, i: a + F.when(i > 0, F.log(i.cast("double"))).otherwise(0.0))
+
+
+def _beside_stirling(k: Column) -> Column:
+    """ln k! less Stirling's (k + 1/2) ln k - k + ln(2 pi) / 2, of whole numbers from 1 on."""
+    x = k.cast("double")
+    few = F.least(k, F.lit(16))
+    exact = log_factorial(few) - (few + 0.5) * F.log(few.cast("double")) + few - 0.5 * math.log(2 * math.pi)
+    y = 1 / (x * x)
+    return F.when(k < 16, exact).otherwise((1 / 12 - y * (1 / 360 - y * (1 / 1260 - y * (1 / 1680 - y / 1188)))) / x)
+
+
+def log_even_binomial(m: Column, n: Column) -> Column:
+    """ln of C(n, m) / 2^n, without sums over n and without the difference of large logs."""
+    a, b = m.cast("double"), (n - m).cast("double")
+    apart = a * F.log(2 * a / n) + b * F.log(2 * b / n)
+    inner = _beside_stirling(n) - _beside_stirling(m) - _beside_stirling(n - m) - apart + 0.5 * F.log(n / (2 * math.pi * a * b))
+    return F.when((m == 0) | (m == n), -n * math.log(2)).otherwise(inner)

@@ -292,3 +292,26 @@ def test_closest_equals_all_pairs(spark, monkeypatch):
                 want[a] = (min(b for _, b in near), max(j for j, _ in near))
         assert got == want and len(got) > 3
     assert overlap.closest(left, right.limit(0), 0.6).count() == 0
+
+
+def test_exact_test_of_many_pairs(spark):
+    """Against whole-number sums; the terms' factorials were summed anew for each term, which took the square of the pairs."""
+    import time
+
+    from granary.operators.stats import mcnemar_p
+
+    def plain(b, c):
+        n, term, total = b + c, 1, 0
+        for i in range(min(b, c) + 1):
+            total, term = total + term, term * (n - i) // (i + 1)
+        return min(1.0, 2 * math.exp(math.log(total) - n * math.log(2)))
+
+    cases = [(0, 0), (0, 1), (3, 0), (1, 1), (5, 9), (16, 15), (17, 40), (30, 31), (500, 560), (2900, 3100), (0, 1200), (1, 3000)]
+    df = spark.createDataFrame([*cases, (99_500, 100_500), (400_000, 400_000)], "b long, c long")
+    began = time.time()
+    got = {(r["b"], r["c"]): r["p"] for r in df.select("b", "c", mcnemar_p(F.col("b"), F.col("c")).alias("p")).collect()}
+    assert time.time() - began < 60
+    for b, c in cases:
+        assert math.isclose(got[b, c], plain(b, c), rel_tol=1e-9, abs_tol=1e-300), (b, c)
+    # A normal tail with the correction for whole numbers.
+    assert abs(got[99_500, 100_500] - math.erfc((1000 - 1) / math.sqrt(2 * 200_000))) < 1e-4 and got[400_000, 400_000] == 1
