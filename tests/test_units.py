@@ -315,3 +315,24 @@ def test_exact_test_of_many_pairs(spark):
         assert math.isclose(got[b, c], plain(b, c), rel_tol=1e-9, abs_tol=1e-300), (b, c)
     # A normal tail with the correction for whole numbers.
     assert abs(got[99_500, 100_500] - math.erfc((1000 - 1) / math.sqrt(2 * 200_000))) < 1e-4 and got[400_000, 400_000] == 1
+
+
+def test_shingle_hashes_and_long_texts(monkeypatch):
+    """Checksums of runs made from those of words, a word past the table's length, and a text in pieces."""
+    import re
+    import zlib
+
+    from granary.operators import dedup
+
+    texts = ["one two three four five six", "a b c d", None, "", "w " * 3 + "x" * 70 + " y z q", " ".join(f"w{k * k % 97}" for k in range(500)), "a1 b2 c3 d4 e5 Ünë"]
+    a, b = dedup.coefficients()
+    want = []
+    for t in texts:
+        w = re.findall("[a-z0-9]+", t or "")
+        seen = {zlib.crc32(" ".join(w[i : i + 5]).encode()) for i in range(len(w) - 4)}
+        want.append([min((x * h + y) % PRIME for h in seen) for x, y in zip(a, b, strict=True)] if seen else None)
+    for at_once in (1 << 15, 100, 7):
+        monkeypatch.setattr(dedup, "AT_ONCE", at_once)
+        assert [None if s is None else s.tolist() for s in dedup.signatures(texts)] == want
+    words = [w.encode() for w in "the quick brown fox jumps over a lazy dog 42".split()]
+    assert dedup.shingle_hashes(words).tolist() == [zlib.crc32(b" ".join(words[i : i + 5])) for i in range(6)]
