@@ -336,3 +336,25 @@ def test_shingle_hashes_and_long_texts(monkeypatch):
         assert [None if s is None else s.tolist() for s in dedup.signatures(texts)] == want
     words = [w.encode() for w in "the quick brown fox jumps over a lazy dog 42".split()]
     assert dedup.shingle_hashes(words).tolist() == [zlib.crc32(b" ".join(words[i : i + 5])) for i in range(6)]
+
+
+def test_rare_gram_pairs_are_packed(spark, monkeypatch):
+    """Pairs by grams of few rows, packed in pieces that a gram's rows lie across; hot grams leave rows only that show them to be hot."""
+    import itertools
+    import random
+    from collections import defaultdict
+
+    from granary.operators import overlap
+
+    rng = random.Random(8)
+    rows = [(k if k else None, [7, *rng.sample(range(-150, 150), rng.randint(0, 6))]) for k in range(120)]
+    rows[5] = (5, [])
+    owners = defaultdict(list)
+    for d, s in rows:
+        for g in set(s):
+            owners[g].append(d)
+    want = {p for ds in owners.values() if 2 <= len(ds) <= 3 for p in itertools.combinations(sorted(d for d in ds if d is not None), 2)}
+    df = spark.createDataFrame([(d, list(dict.fromkeys(s))) for d, s in rows], "doc_id long, s array<long>").repartition(2)
+    for packed, parts in ((1_000_000, 1), (40, 5)):
+        monkeypatch.setattr(overlap, "PACKED_GRAMS", packed)
+        assert {tuple(r) for r in overlap.rare_gram_pairs(df, "doc_id", 3, parts).collect()} == want and len(want) > 20
