@@ -358,3 +358,26 @@ def test_rare_gram_pairs_are_packed(spark, monkeypatch):
     for packed, parts in ((1_000_000, 1), (40, 5)):
         monkeypatch.setattr(overlap, "PACKED_GRAMS", packed)
         assert {tuple(r) for r in overlap.rare_gram_pairs(df, "doc_id", 3, parts).collect()} == want and len(want) > 20
+
+
+def test_pairs_are_confirmed_in_parts(spark, monkeypatch):
+    """Similarities of listed pairs, with partners' sets sent in many parts; before, each pair carried both sets through shuffles."""
+    import itertools
+    import random
+
+    from granary.operators import dedup
+
+    rng = random.Random(2)
+    sets = {(k, -k): sorted(rng.sample(range(60), rng.randint(20, 50))) for k in range(40)}
+    pairs = [(*b, *a, a[0]) for a, b in itertools.combinations(sets, 2) if rng.random() < 0.7]
+    df, each = spark.createDataFrame(pairs, "h1 long, h2 long, a1 long, a2 long, there long"), spark.createDataFrame([(*k, s) for k, s in sets.items()], "h1 long, h2 long, s array<long>")
+    want = {}
+    for b1, b2, a1, a2, there in pairs:
+        x, y = set(sets[b1, b2]), set(sets[a1, a2])
+        if (j := len(x & y) / len(x | y)) >= 0.5:
+            t, best = want.get((b1, b2), (there, j))
+            want[b1, b2] = (min(t, there), max(best, j))
+    for sent in (4_000_000, 150):
+        monkeypatch.setattr(dedup, "SENT_GRAMS", sent)
+        assert {(r["h1"], r["h2"]): (r["there"], r["jaccard"]) for r in dedup.confirmed(df, each, 0.5).collect()} == want and len(want) > 5
+    assert dedup.confirmed(df.limit(0), each, 0.5).count() == 0
